@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectrill.llm import _common as common
-from vectrill.llm import language_id, ngram_join
+from vectrill.llm import language_id, licenses, ngram_join, quality_rules, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,37 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_documents(spark, sf_dir))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(_documents(spark, sf_dir)))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = common.fold(F.col("doc_id"), 5) == 0
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.learn(docs, labels.where(~held_out))
+    scored = toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.fresh_path(spark, "warc")
+    warc.write_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    page = lambda name: F.regexp_extract(name, "urn:page:(.*)", 1).cast("long")
+    return warc.read(spark, path, payload=False).select(
+        page("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type",
+        F.when(F.col("refers_to").isNotNull(), page("refers_to")).alias("refers_to"),
+    )
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rules = quality_rules.learn_rules(docs, labels)
+    failed = quality_rules.base_failed()
+    return quality_rules.measure(docs.select("doc_id", "text")).select(
+        "doc_id", *quality_rules.COUNTS, failed.alias("base_failed"), (~failed & quality_rules.verdict(rules)).alias("kept")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
