@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectrill.llm import _common as common
-from vectrill.llm import bpe, language_id, licenses, ngram_join, packing, quality_rules, toxicity, warc
+from vectrill.llm import bpe, language_id, licenses, lm_scoring, ngram_join, packing, quality_rules, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_documents(spark, sf_dir))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = common.fold(F.col("doc_id"), 10) == 0
+    return lm_scoring.score(_documents(spark, sf_dir), ~held_out).withColumn("held_out", held_out)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
