@@ -15,6 +15,7 @@ are ignored. An empty table packs into nothing.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +23,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 from vectrill.llm import _common as common
 
 CACHED = 400_000
+_NO_MERGE = 1 << 40
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 # --- token ids of a word-end BPE vocabulary -------------------------------------------------
@@ -64,9 +66,16 @@ class WordBpe:
 
         self.inner = np.array([vocab.get(c, -1) for c in byte_characters()], np.int64)
         self.final = np.array([vocab.get(c + self.suffix, -1) for c in byte_characters()], np.int64)
-        self.simple = regex.compile(r"[a-z\xDF-\xF6\xF8-\xFF]+").fullmatch  # one pre-token, unchanged by the normalizer
-        self.cut = regex.compile(r"([a-zA-Z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([!-/:-@\[-`{-~]*)").fullmatch
+        self.latin = re.compile(r"[a-zA-Z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+").fullmatch  # one pre-token, lower-cased letter by letter
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge rank and merged id of pairs of ids; -1 stands for none."""
+        pairs = left * self.size + right
+        place = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
+        found = (self.keys[place] == pairs) & (right >= 0)
+        return np.where(found, self.ranks[place], _NO_MERGE), np.where(found, self.new[place], -1)
 
     def _simple(self, words: list[str]) -> list[bytes]:
         """Ids of words that are one pre-token each."""
@@ -78,41 +87,49 @@ class WordBpe:
         grid = np.full((len(words), wide), -1, np.int64)
         grid[live] = self.inner[data]
         grid[np.arange(len(words)), n - 1] = self.final[data[offsets[1:] - 1]]
-        while wide > 1:
-            pairs = grid[:, :-1] * self.size + grid[:, 1:]
-            place = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
-            rank = np.where((self.keys[place] == pairs) & (grid[:, 1:] >= 0), self.ranks[place], 1 << 40)
+        rank, new = self._pairs(grid[:, :-1], grid[:, 1:])
+        while rank.shape[1]:
             best = rank.argmin(axis=1)
-            rows = np.flatnonzero(rank[np.arange(len(rank)), best] < 1 << 40)
+            rows = np.flatnonzero(rank[np.arange(len(rank)), best] < _NO_MERGE)
             if not len(rows):
                 break
             column = best[rows]
-            grid[rows, column] = self.new[place[rows, column]]
-            # close the gap right of each merged pair
-            moved = np.concatenate([grid[rows, 1:], np.full((len(rows), 1), -1, np.int64)], axis=1)
-            grid[rows] = np.where(np.arange(wide)[None, :] > column[:, None], moved, grid[rows])
-            wide = int((grid >= 0).sum(axis=1).max())
-            grid = grid[:, :wide]
+            grid[rows, column] = new[rows, column]
+            # close the gap right of each merged pair, and look up only its two new neighbours
+            keep = np.arange(grid.shape[1])[None, :] <= column[:, None]
+            grid[rows] = np.where(keep, grid[rows], np.concatenate([grid[rows, 1:], np.full((len(rows), 1), -1, grid.dtype)], axis=1))
+            for table, empty in ((rank, _NO_MERGE), (new, -1)):
+                table[rows] = np.where(keep[:, :-1], table[rows], np.concatenate([table[rows, 1:], np.full((len(rows), 1), empty, table.dtype)], axis=1))
+            for at in (column - 1, column):
+                ok = (at >= 0) & (at < rank.shape[1])
+                r, c = rows[ok], at[ok]
+                rank[r, c], new[r, c] = self._pairs(grid[r, c], grid[r, c + 1])
+            wide = max(1, int((grid >= 0).sum(axis=1).max()))
+            grid, rank, new = grid[:, :wide], rank[:, : wide - 1], new[:, : wide - 1]
         n = (grid >= 0).sum(axis=1)
         flat, ends = grid[grid >= 0].astype(np.uint32).tobytes(), np.cumsum(n) * 4
         return [flat[e - 4 * k : e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
 
     def learn(self, words: list[str]) -> None:
-        """Fills the memory for words that it lacks."""
-        if len(self.known) + len(words) > CACHED:
-            self.known.clear()
-        simple: dict[str, None] = {}
+        """Fills the memory for words that it lacks; once full, it keeps what has been used since it was last full."""
+        if len(self.known) > CACHED:
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        simple: set[str] = set()
         parts: list[tuple[str, str, str]] = []
         others = []
         for word in words:
-            if found := self.cut(word):
-                core = found[1].lower()
-                if self.simple(core):
-                    parts.append((word, core, found[2]))
-                    simple[core] = None
-                    continue
-            others.append(word)
-        todo = sorted(simple, key=len)
+            if (got := before.get(word)) is not None:
+                known[word] = got
+                continue
+            core = word.rstrip(_MARKS)
+            if core.isalpha() and (core.isascii() or self.latin(core)):
+                low = core.lower()
+                parts.append((word, low, word[len(core) :]))
+                simple.add(low)
+            else:
+                others.append(word)
+        todo = sorted(simple, key=lambda x: (len(x), x))
         ids: dict[str, bytes] = {}
         for i in range(0, len(todo), 4096):
             ids.update(zip(todo[i : i + 4096], self._simple(todo[i : i + 4096]), strict=True))
@@ -127,11 +144,10 @@ class WordBpe:
         """The ids of each text, 32 bits each."""
         split = [x.replace("\n", " ").split(" ") for x in texts]
         known = self.known
-        missing = {w for words in split for w in words}.difference(known)
-        if missing:
-            if len(known) + len(missing) > CACHED:
-                missing = {w for words in split for w in words}
-            self.learn(sorted(missing))
+        words = set().union(*split)
+        if missing := words.difference(known):
+            self.learn(missing if len(known) <= CACHED else words)
+            known = self.known
         return [b"".join([known[w] for w in words]) for words in split]
 
 
