@@ -145,7 +145,7 @@ def knn_join(
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "distance", F.round(1 - F.col("distance"), digits).alias("score"))
 
 
-T_ARROW = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string()}
+T_ARROW = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string(), T.DoubleType: pa.float64()}
 
 
 def knn_graph(df: DataFrame, edges: int = 10, metric: str = "cosine", id_col: str = "id", vector_col: str = "vector") -> DataFrame:

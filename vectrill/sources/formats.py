@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RECORD_TYPE = "id string, vector array<float>, ts_ns bigint"
+RECORD_TYPE = T.StructType([T.StructField("id", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("ts_ns", T.LongType())])
 
 # The header of a memory-mapped file.
 MMAP_MAGIC, MMAP_HEADER = 0x4D4D4150, 4096
