@@ -26,7 +26,7 @@ class CollectionConfig:
     clusters: int = 100
     nprobe: int = 10
     graph_parts: int = 8
-    lexical: str = "bm25"
+    lexical_kind: str = "bm25"
     lexical_config: lexical.LexicalConfig = field(default_factory=lexical.LexicalConfig)
     text_field: str = "content"
     path: str | None = None
@@ -132,7 +132,7 @@ class Collection:
 
     def fit_text(self) -> Collection:
         c = self.config
-        self._model = lexical.fit(self._open(), c.lexical, c.lexical_config, c.id_col, c.text_field)
+        self._model = lexical.fit(self._open(), c.lexical_kind, c.lexical_config, c.id_col, c.text_field)
         return self
 
     def search_by_text(self, text: str, k: int = 10, filter_: dict[str, Any] | None = None) -> DataFrame:
@@ -199,7 +199,7 @@ class Builder:
         return self._set(embedding=lambda t: text_functions.mock_embedding(t, self.config.dimension))
 
     def with_lexical(self, kind: str, config: lexical.LexicalConfig = lexical.LexicalConfig()) -> Builder:
-        return self._set(lexical=kind, lexical_config=config)
+        return self._set(lexical_kind=kind, lexical_config=config)
 
     def with_text_field(self, name: str) -> Builder:
         return self._set(text_field=name)

@@ -28,7 +28,7 @@ def scalar_encode(v: Column, lows: Column, highs: Column, bits: int = 8) -> Colu
     def code(x: Column, r: Column) -> Column:
         low, high = r["lows"].cast("double"), r["highs"].cast("double")
         value = F.floor((x.cast("double") - low) / F.nullif(high - low, F.lit(0.0)) * levels)
-        return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(int(levels)).cast("bigint"), value)), F.lit(middle)).cast("bigint")
+        return F.when(high > low, F.greatest(F.lit(0), F.least(F.lit(int(levels)).cast("bigint"), value))).otherwise(F.lit(middle)).cast("bigint")
 
     return F.when(F.size(v) == F.size(lows), F.zip_with(v, F.arrays_zip(lows.alias("lows"), highs.alias("highs")), code))
 
