@@ -31,6 +31,8 @@ from vectrill.llm import _common as common
 
 CACHED = 400_000
 _NO_MERGE = 1 << 40
+#: Longer words go to the library: the merge table has a column for each character of its longest word.
+_LONGEST = 64
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -123,7 +125,7 @@ class WordBpe:
                 known[word] = got
                 continue
             core = word.rstrip(_MARKS)
-            if core.isalpha() and (core.isascii() or self.latin(core)):
+            if len(core) <= _LONGEST and core.isalpha() and (core.isascii() or self.latin(core)):
                 low = core.lower()
                 parts.append((word, low, word[len(core) :]))
                 simple.add(low)
