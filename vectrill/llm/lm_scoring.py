@@ -33,24 +33,35 @@ from pyspark.sql import types as T
 from vectrill.llm import _common as common
 
 _U64 = np.uint64
-_SPACES = re.compile(rb"([\x20\x09-\x0D]+)")
+_NOT_ONE_SPACE = re.compile(rb"[\x20\x09-\x0D]{2,}|[\x09-\x0D]")
+_WHITE = frozenset(b" \t\n\x0b\x0c\r")
 #: Bytes of context; the last is the whole segment so far.
 ORDERS = (0, 1, 2, 3, 4, None)
 _WORD, _SPACE = b"W", b"S"
 _HELD = 300_000
-_BATCH = 2_000
+_BATCH = 500
 _GATES = 12 * 4 * 9
 
 
-def segments(text: bytes) -> list[bytes]:
-    """Keys of a lower-cased text's segments: W before what comes at the start or after white space, S before what comes after a word."""
-    parts = _SPACES.split(text)
-    words, spaces = parts[::2], parts[1::2]
-    out = [_WORD + w for w in words if w]
-    if spaces:
-        lead = not words[0]
-        out += [(_WORD if i == 0 and lead else _SPACE) + s for i, s in enumerate(spaces)]
-    out.append((_SPACE if words[-1] else _WORD))
+def segments(text: bytes) -> Counter[bytes]:
+    """How often each segment stands in a lower-cased text, by key: W and what comes at the start or after white space, S and
+    what comes after a word; W or S alone is the end."""
+    words = text.split()  # of bytes: at ASCII white space
+    if not words:
+        return Counter([_WORD + text, _WORD] if text else [_WORD])
+    out = Counter({_WORD + w: n for w, n in Counter(words).items()})
+    other = _NOT_ONE_SPACE.findall(text)
+    lead, trail = text[0] in _WHITE, text[-1] in _WHITE
+    single = len(words) - 1 + lead + trail - len(other)
+    if lead:
+        first = b" " if text[1] not in _WHITE and text[0] == 0x20 else other.pop(0)
+        single -= first == b" "
+        out[_WORD + first] += 1
+    for space, n in Counter(other).items():
+        out[_SPACE + space] = n
+    if single:
+        out[_SPACE + b" "] += single
+    out[_WORD if trail else _SPACE] += 1
     return out
 
 
@@ -114,14 +125,14 @@ def coded(keys: pa.Array, table_bits: int) -> Bits:
                     # beyond the mark nothing: the byte before the segment counts as 256
                     previous = np.where(i - back >= -1, data[np.maximum(at - back, 0)].astype(np.int64), 256)
                     hashed = common.mix(hashed + previous.astype(_U64) * _U64(0xD6E8FEB86659FD93))
-            contexts[k] = hashed * _U64(2 * k + 3)
+            contexts[k] = common.mix(hashed + _U64(2 * k + 3))
         flag_nodes = np.zeros((len(at), 1), np.int64)
         shifts = np.arange(8)
         nodes = np.concatenate([flag_nodes, (1 << shifts)[None, :] | (value[:, None] >> (8 - shifts)[None, :])], axis=1)
         bits = np.concatenate([more[:, None], (value[:, None] >> (7 - shifts)[None, :]) & 1], axis=1).astype(np.int8)
         live = np.concatenate([np.ones((len(at), 1), bool), np.repeat(more[:, None], 8, axis=1)], axis=1)
         where, kind = np.nonzero(live)
-        slots = common.mix(contexts[:, where] + nodes[live].astype(_U64) * _U64(0xA24BAED4963EE407)) >> _U64(64 - table_bits)
+        slots = ((contexts[:, where] + nodes[live].astype(_U64) * _U64(0xA24BAED4963EE407)) * _U64(0x9E3779B97F4A7C15)) >> _U64(64 - table_bits)
     return Bits(slots.astype(np.int64), bits[live], of[where], kind)
 
 
@@ -132,13 +143,13 @@ def _as_text(keys: pa.Array) -> pa.Array:
 
 
 def _stretch(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return np.log((one + 0.4) / (zero + 0.4))
+    return np.log((one + np.float32(0.4)) / (zero + np.float32(0.4)))
 
 
-def _gate(seen: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """seen: how often each order's context was seen, by order and bit."""
-    longest = np.minimum(11, np.log2(seen[-1] + 1).astype(np.int64))
-    middle = np.minimum(3, (np.log2(seen[3] + 1) / 3).astype(np.int64))
+def _gate(middle: np.ndarray, longest: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """From how often the context of three bytes and the whole segment so far were seen."""
+    longest = np.minimum(11, np.log2(longest + 1).astype(np.int64))
+    middle = np.minimum(3, (np.log2(middle + 1) / 3).astype(np.int64))
     return (longest * 4 + middle) * 9 + kind
 
 
@@ -147,8 +158,12 @@ def _inputs(bits: Bits, counts: np.ndarray, left_out: float) -> tuple[np.ndarray
     order = np.arange(len(ORDERS))[:, None]
     zero, one = counts[0][order, bits.slots], counts[1][order, bits.slots]
     if left_out:
-        zero, one = np.maximum(0, zero - left_out * (bits.bit == 0)), np.maximum(0, one - left_out * (bits.bit == 1))
-    return np.concatenate([_stretch(zero, one), np.full((1, len(bits.bit)), 0.3)]), _gate(zero + one, bits.kind)
+        off = np.float32(left_out)
+        zero, one = np.maximum(0, zero - off * (bits.bit == 0).astype(np.float32)), np.maximum(0, one - off * (bits.bit == 1).astype(np.float32))
+    seen = zero + one
+    x = np.empty((len(ORDERS) + 1, len(bits.bit)), np.float32)
+    x[:-1], x[-1] = _stretch(zero, one), 0.3
+    return x, _gate(seen[3], seen[-1], bits.kind)
 
 
 def start_weights() -> np.ndarray:
@@ -157,7 +172,10 @@ def start_weights() -> np.ndarray:
 
 
 def _mixed(x: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return np.clip((x * weights[gate].T).sum(axis=0), -30, 30)
+    out = np.zeros(x.shape[1], np.float32)
+    for k in range(len(x)):
+        out += x[k] * weights[:, k].astype(np.float32)[gate]
+    return np.clip(out, -30, 30).astype(np.float64)
 
 
 def learn_weights(batches: Iterator[tuple[pa.Array, np.ndarray]], counts: np.ndarray, table_bits: int, rate: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
@@ -279,7 +297,6 @@ def score(
     rated = common.materialize(tokens.mapInArrow(run_model, "key binary, n long, log10_p double"), "rated")
     often = rated.where(F.col("n") >= max(1.0, all_segments / common_parts)).toArrow()  # so common_parts rows at most
     lookup = spark.sparkContext.broadcast(dict(zip(often.column("key").to_pylist(), zip(often.column("n").to_pylist(), often.column("log10_p").to_pylist(), strict=True), strict=True)))
-    is_space = frozenset(b" \t\n\x0b\x0c\r")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each document with the sums over common segments, and its other segments; a first one without a key so that none lacks a row."""
@@ -290,8 +307,8 @@ def score(
                 raw = (text or "").encode().lower()
                 n_tokens, n_known, base, value = 0, 0, 0.0, 0.0
                 rest, rest_n = [None], [0]
-                for key, n in Counter(segments(raw)).items():
-                    word = len(key) == 1 or (key[:1] == _WORD and key[1] not in is_space)
+                for key, n in segments(raw).items():
+                    word = len(key) == 1 or (key[:1] == _WORD and key[1] not in _WHITE)
                     n_tokens += n * word
                     if len(key) == 1:
                         n_known += n * (end_n > 0)
