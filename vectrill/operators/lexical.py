@@ -192,11 +192,11 @@ def text_search(
     k = min(k, max_results) if max_results else k
     asked = transform(model, queries, query_id_col, query_text_col).withColumnRenamed("doc_id", "query_id")
     weights = doc_weights if doc_weights is not None else transform(model, docs, id_col, text_col)
-    q_norm = asked.groupBy("query_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("qq"))
-    d_norm = weights.groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("dd"))
-    products = asked.select("query_id", "term_id", F.col("weight").alias("q")).join(weights.select("doc_id", "term_id", F.col("weight").alias("d")), "term_id")
-    dots = products.groupBy("query_id", "doc_id").agg(F.sum(F.col("q") * F.col("d")).alias("dot"))
-    scored = dots.join(q_norm, "query_id").join(d_norm, "doc_id").select("query_id", "doc_id", F.round(F.col("dot") / (F.sqrt(F.col("qq") * F.col("dd")) + 1e-8), digits).alias("score"))
+    # Norms by window, so that each side is tokenized once.
+    asked = asked.select("query_id", "term_id", F.col("weight").alias("q"), F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("query_id")).alias("qq"))
+    weights = weights.select("doc_id", "term_id", F.col("weight").alias("d"), F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("doc_id")).alias("dd"))
+    dots = asked.join(weights, "term_id").groupBy("query_id", "doc_id").agg(F.sum(F.col("q") * F.col("d")).alias("dot"), F.max("qq").alias("qq"), F.max("dd").alias("dd"))
+    scored = dots.select("query_id", "doc_id", F.round(F.col("dot") / (F.sqrt(F.col("qq") * F.col("dd")) + 1e-8), digits).alias("score"))
     everyone = queries.select(F.col(query_id_col).alias("query_id")).distinct()
     if min_score <= 0:  # the k lowest ids are enough to fill up lists with zeros, as at most k of them can be listed already
         fill = docs.select(F.col(id_col).alias("doc_id")).orderBy("doc_id").limit(2 * k)
