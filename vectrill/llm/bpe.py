@@ -2,8 +2,8 @@
 
 Encoding: a text is cut into pre-tokens; each is a doubly linked list of symbols and a priority queue of (merge rank,
 place). The best merge is taken, neighbours' new merges are queued, and entries whose symbols have changed since are
-skipped when they come up. Equal ranks merge from the left. Pre-tokens recur, so each task remembers the encodings of
-recent ones (at most `CACHED`, then it starts afresh). Decoding concatenates the vocabulary's strings and reads the
+skipped when they come up. Equal ranks merge from the left. Pre-tokens recur, so each process remembers the encodings of
+recent ones (at most twice `CACHED`: once that many are new, those that have not been used since are dropped). Decoding concatenates the vocabulary's strings and reads the
 bytes as UTF-8, replacing what is not.
 
 Defined cases: null counts as the empty text and has no tokens; special tokens' strings in a text become their ids, as
@@ -13,10 +13,11 @@ columns stay, but for those called like an output column.
 
 from __future__ import annotations
 
-import heapq
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,8 @@ from pyspark.sql import types as T
 
 from vectrill.llm import _common as common
 
-CACHED = 200_000
+CACHED = 300_000
+_PAIR = 1 << 20
 
 # White space, and the pre-token pattern of the vocabulary's byte-level pre-tokenizer.
 _SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -53,77 +55,87 @@ class Bpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.specials: dict[str, int] = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.byte_ids = [self.vocab[c] for c in characters]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[int, int] = {}  # pair of ids -> rank
+        self.merged: list[int] = []  # by rank
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[self.vocab[a], self.vocab[b]] = rank, self.vocab[a + b]
+            self.merges[self.vocab[a] * _PAIR + self.vocab[b]] = rank
+            self.merged.append(self.vocab[a + b])
+        self.first = [[self.merges.get(a * _PAIR + b, -1) for b in self.byte_ids] for a in self.byte_ids]  # ranks of pairs of bytes
         self.strings: dict[int, bytes] = {i: bytes(bytes_of[c] for c in s) for s, i in self.vocab.items() if i not in self.specials.values()}
         self.strings |= {i: s.encode() for s, i in self.specials.items()}
         self.pattern = regex.compile(_PATTERN)
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, np.ndarray] = {}
-
-    def merge(self, symbols: list[int]) -> list[int]:
-        """The symbols after all merges, by rising rank, equal ranks from the left."""
-        n = len(symbols)
+        self.known, self.known_before = {}, {}  # pre-token -> ids (32 bits each), and the same from before it was last full
+        self.pieces, self.pieces_before = {}, {}
+
+    def merge(self, text: bytes) -> list[int]:
+        """The ids of some bytes after all merges, by rising rank, equal ranks from the left."""
+        n, get, merged = len(text), self.merges.get, self.merged
+        symbols = [self.byte_ids[b] for b in text]
+        first = self.first
+        # An entry is one integer: rank and place; it is stale if the pair at that place has another rank by now.
+        queue = [rank * n + i for i, (a, b) in enumerate(zip(text, text[1:])) if (rank := first[a][b]) >= 0]  # noqa: B905
+        if not queue:
+            return symbols
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = []
-        merges = self.merges
-        for i in range(n - 1):
-            if found := merges.get((symbols[i], symbols[i + 1])):
-                queue.append((found[0], i, symbols[i], symbols[i + 1], found[1]))
-        heapq.heapify(queue)
+        heapify(queue)
         while queue:
-            _, i, left, right, new = heapq.heappop(queue)
+            rank, i = divmod(heappop(queue), n)
             j = after[i]
-            if symbols[i] != left or j >= n or symbols[j] != right:
-                continue  # stale
-            symbols[i], symbols[j] = new, -1
+            left = symbols[i]
+            if j >= n or left < 0 or get(left * _PAIR + symbols[j]) != rank:
+                continue
+            new = symbols[i] = merged[rank]
+            symbols[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if found := merges.get((new, symbols[k])):
-                    heapq.heappush(queue, (found[0], i, new, symbols[k], found[1]))
+                if (rank := get(new * _PAIR + symbols[k])) is not None:
+                    heappush(queue, rank * n + i)
             h = before[i]
-            if h >= 0 and (found := merges.get((symbols[h], new))):
-                heapq.heappush(queue, (found[0], h, symbols[h], new, found[1]))
+            if h >= 0 and (rank := get(symbols[h] * _PAIR + new)) is not None:
+                heappush(queue, rank * n + h)
         return [x for x in symbols if x >= 0]
 
-    def pretoken(self, text: str) -> tuple[int, ...]:
+    def pretoken(self, text: str) -> bytes:
+        """The ids (32 bits each) of a pre-token."""
         got = self.known.get(text)
         if got is None:
-            if len(self.known) >= CACHED:
-                self.known.clear()
-            got = tuple(self.merge([self.byte_ids[b] for b in text.encode("utf-8", "replace")]))
+            got = self.known_before.get(text)
+            if got is None:
+                got = array("i", self.merge(text.encode("utf-8", "replace"))).tobytes()
             if len(text) < 256:
+                if len(self.known) >= CACHED:
+                    self.known_before, self.known = self.known, {}
                 self.known[text] = got
         return got
 
     def piece(self, text: str) -> bytes:
-        """The ids (32 bits each) of a stretch of text that pre-tokens do not reach beyond."""
-        got = self.pieces.get(text)
+        """The ids of a stretch of text that pre-tokens do not reach beyond."""
+        got = self.pieces_before.get(text)
         if got is None:
+            got = b"".join([self.pretoken(t) for t in self.pattern.findall(text)])
+        if len(text) < 256:
             if len(self.pieces) >= CACHED:
-                self.pieces.clear()
-            got = np.array([x for t in self.pattern.findall(text) for x in self.pretoken(t)], np.int32).tobytes()
-            if len(text) < 256:
-                self.pieces[text] = got
+                self.pieces_before, self.pieces = self.pieces, {}
+            self.pieces[text] = got
         return got
 
     def encode(self, text: str) -> np.ndarray:
         parts = self.special.split(text) if self.special else [text]
         out: list[bytes] = []
-        piece, pieces = self.piece, self.pieces
         for k, part in enumerate(parts):
             if k % 2:
                 out.append(np.int32(self.specials[part]).tobytes())
             elif part:
                 # A single space between words starts a pre-token, so texts can be cut there before the pattern runs.
                 words = _BETWEEN.split(part) if _DOUBLE.search(part) else part.split(" ")
-                if words[0]:
-                    out.append(piece(words[0]))
-                out += [pieces.get(w) or piece(w) for w in [f" {w}" for w in words[1:]]]
+                words[1:] = [f" {w}" for w in words[1:]]
+                # In stretches, as the memory is replaced when it is full.
+                for at in range(0, len(words), 1000):
+                    get, piece = self.pieces.get, self.piece
+                    out += [get(w) or piece(w) for w in words[at : at + 1000]]
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
