@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
@@ -23,7 +24,11 @@ def test_promote(spark, tmp_path):
     schema = "id long"
     spark.createDataFrame([(1,), (1,), (1,), (2,)], schema).write.json(str(tmp_path / "in"))
     out = ingest.promote(spark.readStream.schema(schema).json(str(tmp_path / "in")), 3)
-    out.writeStream.format("memory").queryName("promoted").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    out.writeStream.format("memory").queryName("promoted").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    started, deadline = spark.streams.active[0], time.time() + 60  # with timeouts there is always another batch to run, so it is stopped
+    while not spark.table("promoted").count() and time.time() < deadline:
+        time.sleep(1)
+    started.stop()
     assert [(r.id, r.event) for r in spark.table("promoted").collect()] == [(1, "promote")]
 
 
