@@ -103,37 +103,46 @@ class Bits:
     kind: np.ndarray
 
 
+_NODE = np.uint32(0x9E3779B1)
+_SHIFTS = np.arange(8)
+_VALUES = np.arange(256)[:, None]
+#: By byte (256: the end) and kind: where the bit is in the tree of a context's bits, spread over 32 bits; and the bit.
+_NODES = np.concatenate([np.concatenate([np.zeros((256, 1), np.int64), (1 << _SHIFTS) | (_VALUES >> (8 - _SHIFTS))], axis=1), np.zeros((1, 9), np.int64)]).astype(np.uint32).ravel() * _NODE
+_BITS = np.concatenate([np.concatenate([np.ones((256, 1), np.int64), (_VALUES >> (7 - _SHIFTS)) & 1], axis=1), np.zeros((1, 9), np.int64)]).astype(np.int8).ravel()
+
+
 def coded(keys: pa.Array, table_bits: int) -> Bits:
     data, offsets = common.text_bytes(_as_text(keys))
     n, seg = np.diff(offsets) - 1, np.arange(len(offsets) - 1)  # bytes without the mark
     places = n + 1
     of = np.repeat(seg, places)  # for each place a flag, and a byte unless it is the last
-    first = np.concatenate([[0], np.cumsum(places)])
-    i = np.arange(first[-1]) - first[:-1][of]
-    at = offsets[:-1][of] + 1 + i  # the byte that follows the place
-    value = np.zeros(len(at), np.int64)
-    more = i < n[of]
+    first = offsets[:-1][of]
+    # Places and bytes with the mark are as many: place j stands before byte j + 1, and the last of a segment before its end.
+    at = np.arange(1, len(of) + 1)
+    more = at < offsets[1:][of]
+    value = np.full(len(at), 256, np.int64)
     value[more] = data[at[more]]
-    contexts = np.empty((len(ORDERS), len(at)), _U64)
+    contexts = np.empty((len(ORDERS), len(at)), np.uint32)
+    packed = np.zeros(len(at), _U64)  # the last bytes, 9 bits each
     with np.errstate(over="ignore"):
         for k, order in enumerate(ORDERS):
             if order is None:
-                hashed = common.span_hashes(data, offsets[:-1][of], at)
+                hashed = common.span_hashes(data, first, at) + _U64(2 * k + 3)
             else:
-                hashed = np.full(len(at), _U64(order + 1))
-                for back in range(1, order + 1):
+                if order:
                     # beyond the mark nothing: the byte before the segment counts as 256
-                    previous = np.where(i - back >= -1, data[np.maximum(at - back, 0)].astype(np.int64), 256)
-                    hashed = common.mix(hashed + previous.astype(_U64) * _U64(0xD6E8FEB86659FD93))
-            contexts[k] = common.mix(hashed + _U64(2 * k + 3))
-        flag_nodes = np.zeros((len(at), 1), np.int64)
-        shifts = np.arange(8)
-        nodes = np.concatenate([flag_nodes, (1 << shifts)[None, :] | (value[:, None] >> (8 - shifts)[None, :])], axis=1)
-        bits = np.concatenate([more[:, None], (value[:, None] >> (7 - shifts)[None, :]) & 1], axis=1).astype(np.int8)
-        live = np.concatenate([np.ones((len(at), 1), bool), np.repeat(more[:, None], 8, axis=1)], axis=1)
-        where, kind = np.nonzero(live)
-        slots = ((contexts[:, where] + nodes[live].astype(_U64) * _U64(0xA24BAED4963EE407)) * _U64(0x9E3779B97F4A7C15)) >> _U64(64 - table_bits)
-    return Bits(slots.astype(np.int64), bits[live], of[where], kind)
+                    previous = np.where(at - order >= first, data[np.maximum(at - order, 0)], 256)
+                    packed |= previous.astype(_U64) << _U64(9 * (order - 1))
+                hashed = packed + (_U64(order + 1) << _U64(40))
+            contexts[k] = common.mix(hashed) >> _U64(32)
+        repeats = np.where(more, 9, 1)
+        starts = np.cumsum(repeats) - repeats
+        kind = np.arange(starts[-1] + repeats[-1] if len(starts) else 0) - np.repeat(starts, repeats)
+        row = np.repeat(value * 9, repeats) + kind
+        slots = np.repeat(contexts, repeats, axis=1)
+        slots += _NODES[row]
+        slots >>= np.uint32(32 - table_bits)
+    return Bits(slots, _BITS[row], np.repeat(of, repeats), kind)
 
 
 def _as_text(keys: pa.Array) -> pa.Array:
@@ -146,24 +155,48 @@ def _stretch(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.log((one + np.float32(0.4)) / (zero + np.float32(0.4)))
 
 
-def _gate(middle: np.ndarray, longest: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """From how often the context of three bytes and the whole segment so far were seen."""
-    longest = np.minimum(11, np.log2(longest + 1).astype(np.int64))
-    middle = np.minimum(3, (np.log2(middle + 1) / 3).astype(np.int64))
-    return (longest * 4 + middle) * 9 + kind
+@dataclass
+class Logits:
+    """Of counts, once for all slots: the logits [order, slot], or [order, 2 slot + bit] if occurrences are left out; and
+    two summands of the gate by slot, from how often the context of three bytes and the whole segment so far were seen."""
+
+    logit: np.ndarray
+    middle: np.ndarray
+    longest: np.ndarray
+
+    @classmethod
+    def of(cls, counts: np.ndarray | Logits, left_out: float) -> Logits:
+        """left_out occurrences of the bit itself are taken off the counts [bit, order, slot]."""
+        if isinstance(counts, Logits):
+            return counts
+        off, slots = np.float32(left_out), counts.shape[2]
+        logit = np.empty((len(ORDERS), slots * (2 if left_out else 1)), np.float32)
+        for k, (zero, one) in enumerate(zip(counts[0], counts[1], strict=True)):
+            if left_out:
+                logit[k, 0::2] = _stretch(np.maximum(0, zero - off), one)
+                logit[k, 1::2] = _stretch(zero, np.maximum(0, one - off))
+            else:
+                logit[k] = _stretch(zero, one)
+        middle, longest = (np.log2(np.maximum(0, counts[0][k] + counts[1][k] - off) + 1) for k in (3, -1))
+        return cls(logit, np.minimum(3, middle / 3).astype(np.int16) * np.int16(9), np.minimum(11, longest).astype(np.int16) * np.int16(36))
 
 
-def _inputs(bits: Bits, counts: np.ndarray, left_out: float) -> tuple[np.ndarray, np.ndarray]:
-    """Logits of all orders and a constant, and the gate; left_out occurrences of the bit itself are taken off the counts."""
-    order = np.arange(len(ORDERS))[:, None]
-    zero, one = counts[0][order, bits.slots], counts[1][order, bits.slots]
-    if left_out:
-        off = np.float32(left_out)
-        zero, one = np.maximum(0, zero - off * (bits.bit == 0).astype(np.float32)), np.maximum(0, one - off * (bits.bit == 1).astype(np.float32))
-    seen = zero + one
+def _inputs(bits: Bits, counts: np.ndarray | Logits, left_out: float) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of all orders and a constant, and the gate; see Logits."""
+    table = Logits.of(counts, left_out)
     x = np.empty((len(ORDERS) + 1, len(bits.bit)), np.float32)
-    x[:-1], x[-1] = _stretch(zero, one), 0.3
-    return x, _gate(seen[3], seen[-1], bits.kind)
+    x[-1] = 0.3
+    for k, slots in enumerate(bits.slots):
+        slots = slots.astype(np.intp)
+        if k == 3:
+            middle = table.middle[slots]
+        if k == len(ORDERS) - 1:
+            longest = table.longest[slots]
+        if left_out:
+            slots += slots
+            slots += bits.bit
+        np.take(table.logit[k], slots, out=x[k], mode="clip")
+    return x, longest + middle + bits.kind
 
 
 def start_weights() -> np.ndarray:
@@ -173,14 +206,14 @@ def start_weights() -> np.ndarray:
 
 def _mixed(x: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
     out = np.zeros(x.shape[1], np.float32)
-    for k in range(len(x)):
-        out += x[k] * weights[:, k].astype(np.float32)[gate]
+    for inputs, weight in zip(x, weights.T.astype(np.float32), strict=True):
+        out += inputs * weight[gate]
     return np.clip(out, -30, 30).astype(np.float64)
 
 
-def learn_weights(batches: Iterator[tuple[pa.Array, np.ndarray]], counts: np.ndarray, table_bits: int, rate: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+def learn_weights(batches: Iterator[tuple[pa.Array, np.ndarray]], counts: np.ndarray | Logits, table_bits: int, rate: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
     """Online: predict a small batch, then step down its gradient. Returns the weights and how much each gate has seen."""
-    weights, seen = start_weights(), np.zeros(_GATES)
+    weights, seen, counts = start_weights(), np.zeros(_GATES), Logits.of(counts, 1.0)
     for keys, number in batches:
         bits = coded(keys, table_bits)
         x, gate = _inputs(bits, counts, 1.0)
@@ -193,11 +226,12 @@ def learn_weights(batches: Iterator[tuple[pa.Array, np.ndarray]], counts: np.nda
     return weights, seen
 
 
-def log10_probability(keys: pa.Array, counts: np.ndarray, weights: np.ndarray, table_bits: int) -> np.ndarray:
+def log10_probability(keys: pa.Array, counts: np.ndarray | Logits, weights: np.ndarray, table_bits: int) -> np.ndarray:
     bits = coded(keys, table_bits)
     x, gate = _inputs(bits, counts, 0.0)
     z = _mixed(x, gate, weights)
-    return -np.bincount(bits.segment, np.logaddexp(0, np.where(bits.bit == 1, -z, z)), len(keys)) / np.log(10)
+    wrong = np.where(bits.bit == 1, -z, z)  # within 30 of 0
+    return -np.bincount(bits.segment, np.log1p(np.exp(wrong)), len(keys)) / np.log(10)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], learn: bool) -> Iterator[pa.RecordBatch]:
@@ -228,7 +262,7 @@ def context_counts(tokens: DataFrame, table_bits: int) -> np.ndarray:
             bits = coded(batch.column("key"), table_bits)
             n = batch.column("n").to_numpy().astype(np.float32)[bits.segment]
             for k in range(len(ORDERS)):
-                flat = bits.slots[k] + (bits.bit.astype(np.int64) << table_bits) * len(ORDERS) + (k << table_bits)
+                flat = bits.slots[k].astype(np.int64) + (bits.bit.astype(np.int64) << table_bits) * len(ORDERS) + (k << table_bits)
                 np.add.at(out.reshape(-1), flat, n)
         if some:
             for k, part in enumerate(np.split(out.reshape(-1), _PARTS)):
@@ -266,10 +300,13 @@ def score(
     total, distinct, all_segments, end_n = facts["total"] or 0, facts["words"] + facts["ends"], facts["all"] or 0, facts["end_n"] or 0
     base_unit = np.log10(total + 0.1 * (distinct + 1))
 
-    counts = spark.sparkContext.broadcast(context_counts(tokens, table_bits))  # 2**table_bits slots an order
+    counts = context_counts(tokens, table_bits)
+    left_out = spark.sparkContext.broadcast(Logits.of(counts, 1.0))  # 2**table_bits slots an order
+    logits = spark.sparkContext.broadcast(Logits.of(counts, 0.0))
+    del counts
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, seen = learn_weights(((b.column("key"), b.column("n").to_numpy()) for b in _cut(batches, learn=True)), counts.value, table_bits)
+        weights, seen = learn_weights(((b.column("key"), b.column("n").to_numpy()) for b in _cut(batches, learn=True)), left_out.value, table_bits)
         if seen.any():
             yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary()), pa.array([weights.tobytes()], pa.binary())], ["seen", "weights"])
 
@@ -292,7 +329,7 @@ def score(
 
     def run_model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _cut(batches, learn=False):
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("n"), pa.array(log10_probability(b.column("key"), counts.value, weights, table_bits))], ["key", "n", "log10_p"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("n"), pa.array(log10_probability(b.column("key"), logits.value, weights, table_bits))], ["key", "n", "log10_p"])
 
     rated = common.materialize(tokens.mapInArrow(run_model, "key binary, n long, log10_p double"), "rated")
     often = rated.where(F.col("n") >= max(1.0, all_segments / common_parts)).toArrow()  # so common_parts rows at most
