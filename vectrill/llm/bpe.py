@@ -64,6 +64,7 @@ class Bpe:
         self.first = [[self.merges.get(a * _PAIR + b, -1) for b in self.byte_ids] for a in self.byte_ids]  # ranks of pairs of bytes
         self.strings: dict[int, bytes] = {i: bytes(bytes_of[c] for c in s) for s, i in self.vocab.items() if i not in self.specials.values()}
         self.strings |= {i: s.encode() for s, i in self.specials.items()}
+        self.decimals = [str(i) for i in range(max(self.strings) + 1)]
         self.pattern = regex.compile(_PATTERN)
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
         self.known, self.known_before = {}, {}  # pre-token -> ids (32 bits each), and the same from before it was last full
@@ -189,10 +190,10 @@ def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in decode_batches(encode_batches(batches, vocabulary, "text", "ids"), vocabulary, "ids", "decoded"):
-            lists = batch.column("ids")
+            lists, decimal = batch.column("ids"), load(vocabulary).decimals.__getitem__
             offsets = lists.offsets.to_numpy()
-            text = lists.values.cast(pa.string()).to_pylist()
-            ids = [sha256(",".join(text[a:b]).encode()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            values = lists.values.to_numpy()
+            ids = [sha256(",".join(map(decimal, values[a:b].tolist())).encode()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             decoded = [sha256(x.encode()).hexdigest() for x in batch.column("decoded").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(ids), pa.array(decoded)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
