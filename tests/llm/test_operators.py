@@ -143,6 +143,27 @@ def test_model_is_a_distribution():
     assert np.exp(total - prefix).sum() + math.exp(end) == pytest.approx(1, abs=1e-9)
 
 
+def test_counts_grow_with_the_corpus(spark):
+    """However small the tables start, the counts of each context stay apart, and those of prefixes are exact."""
+    keys = [b"W" + w.encode() for w in sorted({f"{x}{y:03d}{z}" for x in "abcdefgh" for y in range(0, 1000, 7) for z in ("", "s", "ing")})]
+    tokens = spark.createDataFrame([(bytearray(k), i % 5) for i, k in enumerate(keys)], "key binary, n long").repartition(3)
+    counts, bits = lm_scoring.context_counts(tokens, 4)
+    four = Counter()
+    for i, k in enumerate(keys):
+        for at in range(1, len(k) + 1):
+            four[k[max(0, at - 4) : at]] += i % 5
+    one = pa.array(keys, pa.binary())
+    assert 2 ** bits[4] >= 2 * len(+four) and counts[0][0].sum() + counts[1][0].sum() == sum(n % 5 * (9 * (len(k) - 1) + 1) for n, k in enumerate(keys))
+    number, places = np.arange(len(keys)) % 5, lm_scoring.places(one)
+    whole = lm_scoring.Prefixes.of(one, number, 0.0)
+    seen = Counter()
+    for i, k in enumerate(keys):
+        for at in range(1, len(k) + 1):
+            seen[k[:at]] += i % 5
+    flags = [min(11, int(math.log2(seen[keys[s][: at - f]] + 1))) * 36 for s, at, f in zip(places.of, places.at, places.first, strict=True)]
+    assert whole.longest[whole.pair * 9].tolist() == flags
+
+
 def test_segments():
     text = b" a  b\n"
     keys = lm_scoring.segments(text)

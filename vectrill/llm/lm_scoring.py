@@ -9,7 +9,9 @@ own occurrence left out of the counts; the tasks' weights are averaged. The scor
 
 As segments do not depend on each other, the model is run once for each distinct segment, however large the corpus:
 counts of distinct segments (a pre-aggregated sum over all documents) are both its training set and what it scores.
-Tables have a fixed number of slots and are broadcast; segments that make up at least 1/`common_parts` of all are at
+The counts grow with the corpus. Those of the whole segment so far are exact: segments are dealt by their first four
+bytes, so a task has all that share a longer prefix; a shorter prefix is the same as the context of four bytes. The
+other orders have at least two slots for each distinct bit context of the corpus and are broadcast. Segments that make up at least 1/`common_parts` of all are at
 most `common_parts` in number and are broadcast too; the others reach their documents through a join.
 
 Defined cases: null and empty texts consist of the end alone. Repeated rows are scored each. Extra columns are ignored.
@@ -95,12 +97,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Bits:
-    """The coded bits of some segments: slots[order, bit], the bit, which segment, and which of the 9 kinds (flag, 8 bits)."""
+    """The coded bits of some segments: slots[order, bit], the bit, which segment, which of the 9 kinds (flag, 8 bits), and
+    the place, one before each byte and one at each end."""
 
     slots: np.ndarray
     bit: np.ndarray
     segment: np.ndarray
     kind: np.ndarray
+    place: np.ndarray
 
 
 _NODE = np.uint32(0x9E3779B1)
@@ -111,11 +115,23 @@ _NODES = np.concatenate([np.concatenate([np.zeros((256, 1), np.int64), (1 << _SH
 _BITS = np.concatenate([np.concatenate([np.ones((256, 1), np.int64), (_VALUES >> (7 - _SHIFTS)) & 1], axis=1), np.zeros((1, 9), np.int64)]).astype(np.int8).ravel()
 
 
-def coded(keys: pa.Array, table_bits: int) -> Bits:
+@dataclass
+class Places:
+    """The places of some segments: which segment, where its mark is, the byte (256: the end), and contexts[order, place];
+    whole: 64 bits of the whole segment so far."""
+
+    of: np.ndarray
+    first: np.ndarray
+    at: np.ndarray
+    value: np.ndarray
+    contexts: np.ndarray
+    whole: np.ndarray
+
+
+def places(keys: pa.Array) -> Places:
     data, offsets = common.text_bytes(_as_text(keys))
     n, seg = np.diff(offsets) - 1, np.arange(len(offsets) - 1)  # bytes without the mark
-    places = n + 1
-    of = np.repeat(seg, places)  # for each place a flag, and a byte unless it is the last
+    of = np.repeat(seg, n + 1)  # for each place a flag, and a byte unless it is the last
     first = offsets[:-1][of]
     # Places and bytes with the mark are as many: place j stands before byte j + 1, and the last of a segment before its end.
     at = np.arange(1, len(of) + 1)
@@ -127,7 +143,7 @@ def coded(keys: pa.Array, table_bits: int) -> Bits:
     with np.errstate(over="ignore"):
         for k, order in enumerate(ORDERS):
             if order is None:
-                hashed = common.span_hashes(data, first, at) + _U64(2 * k + 3)
+                hashed = whole = common.span_hashes(data, first, at) + _U64(2 * k + 3)
             else:
                 if order:
                     # beyond the mark nothing: the byte before the segment counts as 256
@@ -135,14 +151,22 @@ def coded(keys: pa.Array, table_bits: int) -> Bits:
                     packed |= previous.astype(_U64) << _U64(9 * (order - 1))
                 hashed = packed + (_U64(order + 1) << _U64(40))
             contexts[k] = common.mix(hashed) >> _U64(32)
-        repeats = np.where(more, 9, 1)
-        starts = np.cumsum(repeats) - repeats
-        kind = np.arange(starts[-1] + repeats[-1] if len(starts) else 0) - np.repeat(starts, repeats)
-        row = np.repeat(value * 9, repeats) + kind
-        slots = np.repeat(contexts, repeats, axis=1)
+    return Places(of, first, at, value, contexts, whole)
+
+
+def coded(keys: pa.Array, table_bits: int | list[int]) -> Bits:
+    """table_bits: of all orders, or of each."""
+    p = places(keys)
+    repeats = np.where(p.value < 256, 9, 1)
+    starts = np.cumsum(repeats) - repeats
+    kind = np.arange(starts[-1] + repeats[-1] if len(starts) else 0) - np.repeat(starts, repeats)
+    place = np.repeat(np.arange(len(p.of)), repeats)
+    row = p.value[place] * 9 + kind
+    with np.errstate(over="ignore"):
+        slots = np.repeat(p.contexts, repeats, axis=1)
         slots += _NODES[row]
-        slots >>= np.uint32(32 - table_bits)
-    return Bits(slots, _BITS[row], np.repeat(of, repeats), kind)
+        slots >>= (32 - np.broadcast_to(table_bits, len(ORDERS))).astype(np.uint32)[:, None]
+    return Bits(slots, _BITS[row], p.of[place], kind, place)
 
 
 def _as_text(keys: pa.Array) -> pa.Array:
@@ -155,47 +179,86 @@ def _stretch(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.log((one + np.float32(0.4)) / (zero + np.float32(0.4)))
 
 
+def _longest(seen: np.ndarray) -> np.ndarray:
+    return np.minimum(11, np.log2(np.maximum(0, seen) + 1)).astype(np.int16) * np.int16(36)
+
+
 @dataclass
 class Logits:
-    """Of counts, once for all slots: the logits [order, slot], or [order, 2 slot + bit] if occurrences are left out; and
-    two summands of the gate by slot, from how often the context of three bytes and the whole segment so far were seen."""
+    """Of counts, once for all slots: the logits [order][slot], or [order][2 slot + bit] if occurrences are left out; and
+    two summands of the gate by slot, from how often the context of three bytes and that of the last order were seen."""
 
-    logit: np.ndarray
+    logit: list[np.ndarray]
     middle: np.ndarray
     longest: np.ndarray
 
     @classmethod
-    def of(cls, counts: np.ndarray | Logits, left_out: float) -> Logits:
-        """left_out occurrences of the bit itself are taken off the counts [bit, order, slot]."""
+    def of(cls, counts: np.ndarray | list | Logits, left_out: float) -> Logits:
+        """left_out occurrences of the bit itself are taken off the counts [bit][order][slot]."""
         if isinstance(counts, Logits):
             return counts
-        off, slots = np.float32(left_out), counts.shape[2]
-        logit = np.empty((len(ORDERS), slots * (2 if left_out else 1)), np.float32)
-        for k, (zero, one) in enumerate(zip(counts[0], counts[1], strict=True)):
+        off, logit = np.float32(left_out), []
+        for zero, one in zip(counts[0], counts[1], strict=True):
             if left_out:
-                logit[k, 0::2] = _stretch(np.maximum(0, zero - off), one)
-                logit[k, 1::2] = _stretch(zero, np.maximum(0, one - off))
+                own = np.empty(2 * len(zero), np.float32)
+                own[0::2] = _stretch(np.maximum(0, zero - off), one)
+                own[1::2] = _stretch(zero, np.maximum(0, one - off))
             else:
-                logit[k] = _stretch(zero, one)
-        middle, longest = (np.log2(np.maximum(0, counts[0][k] + counts[1][k] - off) + 1) for k in (3, -1))
-        return cls(logit, np.minimum(3, middle / 3).astype(np.int16) * np.int16(9), np.minimum(11, longest).astype(np.int16) * np.int16(36))
+                own = _stretch(zero, one).astype(np.float32)
+            logit.append(own)
+        middle = np.log2(np.maximum(0, counts[0][3] + counts[1][3] - off) + 1)
+        return cls(logit, np.minimum(3, middle / 3).astype(np.int16) * np.int16(9), _longest(counts[0][-1] + counts[1][-1] - off))
+
+
+@dataclass
+class Prefixes:
+    """Logits and gate summands [pair, kind] of the whole segment so far, by the pair of context and byte that each place
+    has; early: places whose context is four bytes or less, which other tasks have seen too."""
 
+    pair: np.ndarray
+    early: np.ndarray
+    logit: np.ndarray
+    longest: np.ndarray
 
-def _inputs(bits: Bits, counts: np.ndarray | Logits, left_out: float) -> tuple[np.ndarray, np.ndarray]:
-    """Logits of all orders and a constant, and the gate; see Logits."""
+    @classmethod
+    def of(cls, keys: pa.Array, number: np.ndarray, left_out: float) -> Prefixes:
+        """From exact counts over all segments that share their first four bytes; keys has all of them."""
+        p = places(keys)
+        with np.errstate(over="ignore"):
+            _, index, pair = np.unique(common.mix(p.whole + p.value.astype(_U64) * _U64(0xD6E8FEB86659FD93)), return_index=True, return_inverse=True)
+            row = (p.value[index][:, None] * 9 + np.arange(9)).ravel()
+            nodes = np.repeat(common.mix(p.whole[index]), 9) + common.mix(_NODES[row].astype(_U64))
+        n = np.repeat(np.bincount(pair, number[p.of], len(index)), 9)
+        n.reshape(-1, 9)[p.value[index] == 256, 1:] = 0  # an end has a flag only
+        bit = _BITS[row]
+        node = np.unique(nodes, return_inverse=True)[1]
+        zero, one = np.bincount(node, n * (1 - bit))[node], np.bincount(node, n * bit)[node]
+        zero, one = np.maximum(0, zero - left_out * (bit == 0)), np.maximum(0, one - left_out * (bit == 1))
+        return cls(pair, p.at - p.first <= 4, _stretch(zero, one).astype(np.float32), _longest(zero + one))
+
+    def cut(self, start: int, end: int) -> Prefixes:
+        return Prefixes(self.pair[start:end], self.early[start:end], self.logit, self.longest)
+
+
+def _inputs(bits: Bits, counts: np.ndarray | Logits, left_out: float, whole: Prefixes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of all orders and a constant, and the gate; see Logits. The last order is looked up in whole, if that is given."""
     table = Logits.of(counts, left_out)
     x = np.empty((len(ORDERS) + 1, len(bits.bit)), np.float32)
     x[-1] = 0.3
-    for k, slots in enumerate(bits.slots):
-        slots = slots.astype(np.intp)
+    for k in range(len(table.logit)):
+        slots = bits.slots[k].astype(np.intp)
         if k == 3:
             middle = table.middle[slots]
-        if k == len(ORDERS) - 1:
+        if k == len(table.logit) - 1:
             longest = table.longest[slots]
         if left_out:
             slots += slots
             slots += bits.bit
         np.take(table.logit[k], slots, out=x[k], mode="clip")
+    if whole is not None:
+        at, early = whole.pair[bits.place] * 9 + bits.kind, whole.early[bits.place]
+        x[k + 1] = np.where(early, x[k], whole.logit[at])
+        longest = np.where(early, longest, whole.longest[at])
     return x, longest + middle + bits.kind
 
 
@@ -211,12 +274,12 @@ def _mixed(x: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.clip(out, -30, 30).astype(np.float64)
 
 
-def learn_weights(batches: Iterator[tuple[pa.Array, np.ndarray]], counts: np.ndarray | Logits, table_bits: int, rate: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+def learn_weights(batches: Iterator[tuple[pa.Array, np.ndarray, Prefixes | None]], counts: np.ndarray | Logits, table_bits: int | list[int], rate: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
     """Online: predict a small batch, then step down its gradient. Returns the weights and how much each gate has seen."""
     weights, seen, counts = start_weights(), np.zeros(_GATES), Logits.of(counts, 1.0)
-    for keys, number in batches:
+    for keys, number, whole in batches:
         bits = coded(keys, table_bits)
-        x, gate = _inputs(bits, counts, 1.0)
+        x, gate = _inputs(bits, counts, 1.0, whole)
         share = np.sqrt(number.astype(np.float64))[bits.segment]
         error = (bits.bit - 1 / (1 + np.exp(-_mixed(x, gate, weights)))) * share
         total = np.bincount(gate, share, _GATES)
@@ -226,9 +289,9 @@ def learn_weights(batches: Iterator[tuple[pa.Array, np.ndarray]], counts: np.nda
     return weights, seen
 
 
-def log10_probability(keys: pa.Array, counts: np.ndarray | Logits, weights: np.ndarray, table_bits: int) -> np.ndarray:
+def log10_probability(keys: pa.Array, counts: np.ndarray | Logits, weights: np.ndarray, table_bits: int | list[int], whole: Prefixes | None = None) -> np.ndarray:
     bits = coded(keys, table_bits)
-    x, gate = _inputs(bits, counts, 0.0)
+    x, gate = _inputs(bits, counts, 0.0, whole)
     z = _mixed(x, gate, weights)
     wrong = np.where(bits.bit == 1, -z, z)  # within 30 of 0
     return -np.bincount(bits.segment, np.log1p(np.exp(wrong)), len(keys)) / np.log(10)
@@ -248,40 +311,99 @@ def _cut(batches: Iterator[pa.RecordBatch], learn: bool) -> Iterator[pa.RecordBa
             at = to
 
 
-_PARTS = 64
+def _dealt(tokens: DataFrame) -> DataFrame:
+    """Segments that share their first four bytes in one task, one after the other; these groups in no order, so that online
+    learning does not drift through the alphabet."""
+    group = F.expr("substring(key, 1, 5)")
+    return tokens.select("key", "n").repartition(group).sortWithinPartitions(F.xxhash64(group), group)
+
 
+def _with_prefixes(batches: Iterator[pa.RecordBatch], learn: bool, left_out: float, most: int = 20_000) -> Iterator[tuple[pa.RecordBatch, Prefixes]]:
+    """Small batches of dealt segments and the counts of their prefixes."""
 
-def context_counts(tokens: DataFrame, table_bits: int) -> np.ndarray:
-    """[bit, order, slot]: how often each bit was seen, over all segments. A fixed number of rows reaches the driver."""
-    shape = (2, len(ORDERS), 1 << table_bits)
+    def wholes() -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch.filter(pc.greater(batch.column("n"), 0)) if learn else batch)
+            if sum(b.num_rows for b in held) >= most:
+                some = pa.concat_batches(held)
+                first = pc.binary_slice(some.column("key"), 0, 5)
+                end = int(np.argmax(pc.equal(first, first[-1]).to_numpy(zero_copy_only=False)))
+                if end:
+                    yield some.slice(0, end)
+                held = [some.slice(end)]
+        if held:
+            yield pa.concat_batches(held)
+
+    for batch in wholes():
+        if not batch.num_rows:
+            continue
+        batch = batch.take(pa.array(np.random.default_rng(1).permutation(batch.num_rows)))
+        prefixes, at = Prefixes.of(batch.column("key"), batch.column("n").to_numpy(), left_out), 0
+        for part in _cut(iter([batch]), learn=False):
+            size = int(pc.sum(pc.binary_length(part.column("key"))).as_py())
+            yield part, prefixes.cut(at, at + size)
+            at += size
+
+
+_PENDING = 4_000_000
+
+
+def context_counts(tokens: DataFrame, least_bits: int) -> tuple[list[list[np.ndarray]], list[int]]:
+    """[bit][order][slot]: how often each bit was seen after the last 0 to 4 bytes, over all segments; and each order's
+    table_bits: slots are at least twice as many as the distinct bit contexts."""
+    orders = len(ORDERS) - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, some = np.zeros(shape, np.float32), False
-        for batch in _cut(batches, learn=True):
-            some = True
-            bits = coded(batch.column("key"), table_bits)
-            n = batch.column("n").to_numpy().astype(np.float32)[bits.segment]
-            for k in range(len(ORDERS)):
-                flat = bits.slots[k].astype(np.int64) + (bits.bit.astype(np.int64) << table_bits) * len(ORDERS) + (k << table_bits)
-                np.add.at(out.reshape(-1), flat, n)
-        if some:
-            for k, part in enumerate(np.split(out.reshape(-1), _PARTS)):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "counts"])
+        pairs, numbers, pending = [], [], 0
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, data in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                values = np.frombuffer(data, np.float32)
-                held[part] = held[part] + values if part in held else values
-        for part, values in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([values.tobytes()], pa.binary())], ["part", "counts"])
+        def out() -> pa.RecordBatch:
+            pair, at = np.unique(np.concatenate(pairs), return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(np.bincount(at, np.concatenate(numbers)).astype(np.int64))], ["pair", "n"])
+
+        for batch in _cut(batches, learn=True):
+            p = places(batch.column("key"))
+            pairs += [(k << 41) | (p.contexts[k].astype(np.int64) << 9) | p.value for k in range(orders)]
+            numbers += [batch.column("n").to_numpy()[p.of]] * orders
+            pending += orders * len(p.of)
+            if pending > _PENDING:
+                yield out()
+                pairs, numbers, pending = [], [], 0
+        if pairs:
+            yield out()
 
-    schema = "part int, counts binary"
-    out = np.zeros((_PARTS, 2 * len(ORDERS) * (1 << table_bits) // _PARTS), np.float32)
-    for row in tokens.select("key", "n").mapInArrow(count, schema).repartition(_PARTS, "part").mapInArrow(add, schema).toArrow().to_pylist():
-        out[row["part"]] = np.frombuffer(row["counts"], np.float32)
-    return out.reshape(shape)
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        pair, n = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("pair", "n"))
+        for k in range(orders):
+            own = pair >> 41 == k
+            value, n_own = pair[own] & 511, n[own]
+            repeats = np.where(value < 256, 9, 1)
+            kind = np.arange(repeats.sum()) - np.repeat(np.cumsum(repeats) - repeats, repeats)
+            row, weight = np.repeat(value, repeats) * 9 + kind, np.repeat(n_own, repeats)
+            with np.errstate(over="ignore"):
+                node, at = np.unique(np.repeat((pair[own] >> 9 & 0xFFFFFFFF).astype(np.uint32), repeats) + _NODES[row], return_inverse=True)
+            if len(node):
+                bit = _BITS[row]
+                data = [node.tobytes(), np.bincount(at, weight * (1 - bit)).tobytes(), np.bincount(at, weight * bit).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(node)], pa.int64()), *(pa.array([x], pa.binary()) for x in data)], ["order", "nodes", "node", "zero", "one"])
+
+    pairs = tokens.select("key", "n").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    nodes = common.materialize(pairs.repartition(F.expr("pair >> 9")).mapInArrow(expand, "order int, nodes long, node binary, zero binary, one binary"), "contexts")
+    distinct = {r["order"]: r["n"] for r in nodes.groupBy("order").agg(F.sum("nodes").alias("n")).collect()}
+    bits = [min(32, max(least_bits, (2 * distinct.get(k, 0)).bit_length())) for k in range(orders)]
+    tables: list[list[np.ndarray]] = [[], []]
+    for k in range(orders):
+        sums = np.zeros((2, 1 << bits[k]))
+        for row in nodes.where(F.col("order") == k).select("node", "zero", "one").toLocalIterator():
+            slot = np.frombuffer(row["node"], np.uint32) >> np.uint32(32 - bits[k])
+            for x, c in zip(sums, ("zero", "one"), strict=True):
+                np.add.at(x, slot, np.frombuffer(row[c]))
+        for table, x in zip(tables, sums, strict=True):
+            table.append(x.astype(np.float32))
+    return tables, [*bits, 32]
 
 
 def score(
@@ -300,13 +422,13 @@ def score(
     total, distinct, all_segments, end_n = facts["total"] or 0, facts["words"] + facts["ends"], facts["all"] or 0, facts["end_n"] or 0
     base_unit = np.log10(total + 0.1 * (distinct + 1))
 
-    counts = context_counts(tokens, table_bits)
-    left_out = spark.sparkContext.broadcast(Logits.of(counts, 1.0))  # 2**table_bits slots an order
+    counts, order_bits = context_counts(tokens, table_bits)
+    left_out = spark.sparkContext.broadcast(Logits.of(counts, 1.0))
     logits = spark.sparkContext.broadcast(Logits.of(counts, 0.0))
     del counts
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, seen = learn_weights(((b.column("key"), b.column("n").to_numpy()) for b in _cut(batches, learn=True)), left_out.value, table_bits)
+        weights, seen = learn_weights(((b.column("key"), b.column("n").to_numpy(), whole) for b, whole in _with_prefixes(batches, True, 1.0)), left_out.value, order_bits)
         if seen.any():
             yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary()), pa.array([weights.tobytes()], pa.binary())], ["seen", "weights"])
 
@@ -321,17 +443,17 @@ def score(
             yield pa.RecordBatch.from_arrays([pa.array([total_seen.tobytes()], pa.binary()), pa.array([(mean / np.maximum(total_seen, 1e-9)[:, None]).tobytes()], pa.binary())], ["seen", "weights"])
 
     schema = "seen binary, weights binary"
-    got = tokens.select("key", "n").mapInArrow(fit, schema).repartition(1).mapInArrow(merge, schema).toArrow().to_pylist()
+    got = _dealt(tokens).mapInArrow(fit, schema).repartition(1).mapInArrow(merge, schema).toArrow().to_pylist()
     weights = start_weights()
     if got:
         seen = np.frombuffer(got[0]["seen"]) > 0
         weights[seen] = np.frombuffer(got[0]["weights"]).reshape(weights.shape)[seen]
 
     def run_model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _cut(batches, learn=False):
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("n"), pa.array(log10_probability(b.column("key"), logits.value, weights, table_bits))], ["key", "n", "log10_p"])
+        for b, whole in _with_prefixes(batches, False, 0.0):
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("n"), pa.array(log10_probability(b.column("key"), logits.value, weights, order_bits, whole))], ["key", "n", "log10_p"])
 
-    rated = common.materialize(tokens.mapInArrow(run_model, "key binary, n long, log10_p double"), "rated")
+    rated = common.materialize(_dealt(tokens).mapInArrow(run_model, "key binary, n long, log10_p double"), "rated")
     often = rated.where(F.col("n") >= max(1.0, all_segments / common_parts)).toArrow()  # so common_parts rows at most
     lookup = spark.sparkContext.broadcast(dict(zip(often.column("key").to_pylist(), zip(often.column("n").to_pylist(), often.column("log10_p").to_pylist(), strict=True), strict=True)))
 
