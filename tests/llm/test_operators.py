@@ -358,6 +358,12 @@ def test_fingerprints(spark, docs, nothing):
     assert fingerprints.compare_edited(docs).count() == docs.count()
 
 
+def test_lexicon_holds_the_whole_band(spark):
+    rows = [(i, " ".join(f"t{i // 2}x{k}" for k in range(50))) for i in range(200)]
+    rare = [(200, "rare words alone here")]
+    assert len(fingerprints.lexicon(spark.createDataFrame(rows + rare, "id long, text string"))) == 5000
+
+
 def alike(a, b):
     if a.startswith("=") or b.startswith("="):
         return float(a == b)

@@ -1,8 +1,9 @@
 """I-Match fingerprints with randomised lexicons, in DataFrame functions only.
 
-The lexicon holds terms of a band of inverse document frequency: of the terms that at most `most_share` of all
-documents have, the `lexicon_size` that most documents have (at least `least_documents`), so its size is fixed. It is
-split at random `rounds` times into `subsets` parts. A document's fingerprint has four hexadecimal digits for each
+The lexicon holds all terms of a band of inverse document frequency: those that at most `most_share` and at least
+`least_share` of all documents have (and at least `least_documents`). So the band is the same at every size, and the
+lexicon has at most as many terms as a document has distinct ones on average, divided by `least_share`. It is split at
+random `rounds` times into `subsets` parts. A document's fingerprint has four hexadecimal digits for each
 part: a hash of the sorted distinct terms that the document has of it, or `----` if there are none. Two documents'
 likeness is the share of parts with equal hashes among the parts that either has terms of.
 
@@ -32,12 +33,12 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(text), _NOT_A_TERM)), "")
 
 
-def lexicon(df: DataFrame, text_col: str = "text", lexicon_size: int = 4096, most_share: float = 0.05, least_documents: int = 2) -> list[str]:
-    """The terms of the band, most frequent first; at most lexicon_size reach the driver."""
+def lexicon(df: DataFrame, text_col: str = "text", most_share: float = 0.05, least_share: float = 0.008, least_documents: int = 2) -> list[str]:
+    """The terms of the band, in order."""
     total = df.count()
     counts = df.select(F.explode(terms(F.col(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    band = counts.where((F.col("n") <= most_share * total) & (F.col("n") >= least_documents))
-    return [r["term"] for r in band.orderBy(F.desc("n"), "term").limit(lexicon_size).collect()]
+    band = counts.where((F.col("n") <= most_share * total) & (F.col("n") >= max(least_documents, least_share * total)))
+    return sorted(r["term"] for r in band.collect())
 
 
 def _let(value: str, name: str, body: str) -> str:
