@@ -358,10 +358,23 @@ def test_fingerprints(spark, docs, nothing):
     assert fingerprints.compare_edited(docs).count() == docs.count()
 
 
+def test_fingerprints_of_a_hot_group(spark):
+    """A third of the rows are near copies, whose terms are too frequent for the band."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(400)]
+    others = [(i, " ".join(rng.choice(words, 60))) for i in range(60)]
+    copies = [(100 + i, " ".join([*(f"c{k}" for k in range(80)), f"odd{i}"])) for i in range(30)]
+    got = {r.doc_id: r for r in fingerprints.compare_edited(spark.createDataFrame(others + copies, "doc_id long, text string")).collect()}
+    assert all(got[100 + i].near_next > 0.9 for i in range(1, 30))
+    assert all(got[100 + i].near_edited > 0.1 for i in range(30)) and np.mean([got[i].near_next for i in range(1, 60)]) < 0.1
+
+
 def test_lexicon_holds_the_whole_band(spark):
     rows = [(i, " ".join(f"t{i // 2}x{k}" for k in range(50))) for i in range(200)]
     rare = [(200, "rare words alone here")]
     assert len(fingerprints.lexicon(spark.createDataFrame(rows + rare, "id long, text string"))) == 5000
+    got = fingerprints.compare_edited(spark.createDataFrame(rows + rare, "doc_id long, text string")).where("doc_id = 200").first()
+    assert len(got.fingerprint) == 256 and got.near_edited > 0
 
 
 def alike(a, b):

@@ -12,8 +12,9 @@ shuffle. For each document's neighbour in the order of ids, rows are dealt into
 the first row of the next; the table of these rows is as long as there are ranges.
 
 Defined cases: terms are runs of digits, letters a to z (after lower-casing) and characters beyond ASCII; null counts as
-the empty text. A document without a term of the lexicon has `=` and a hash of all its terms for a fingerprint, which is
-like an equal one (1) and unlike any other (0). Repeated rows are returned each; rows with equal ids are ordered by a
+the empty text. A document of whose terms less than `least_band` are in the lexicon (one of a group of near copies so large
+that its terms leave the band, or one in a rare language) has all its terms in place of them, dealt to the same parts. A
+document without terms has `=` and a hash for a fingerprint, which is like an equal one (1) and unlike any other (0). Repeated rows are returned each; rows with equal ids are ordered by a
 hash of their text. With one document, the next one is itself. Extra columns are ignored.
 """
 
@@ -46,18 +47,19 @@ def _let(value: str, name: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def fingerprint(text_col: str, chosen: list[str], subsets: int = 32, rounds: int = 2) -> Column:
+def fingerprint(text_col: str, chosen: list[str], subsets: int = 32, rounds: int = 2, least_band: float = 0.1) -> Column:
     """The fingerprint of a text column, whose nulls count as empty. Written as SQL, so that the lexicon is parsed as one list of literals."""
     listed = ", ".join(f"'{t}'" for t in chosen)  # terms hold no quotes or backslashes
     every = f"array_remove(array_distinct(split(lower(coalesce(`{text_col}`, '')), r'{_NOT_A_TERM}')), '')"
-    held = f"filter(every, t -> t in ({listed}))" if chosen else "cast(array() as array<string>)"
+    band = f"filter(every, t -> t in ({listed}))" if chosen else "cast(array() as array<string>)"
 
     def one_round(seed: int) -> str:
         own = _let("transform(filter(tagged, x -> x.part = k), x -> x.term)", "own", f"if(size(own) = 0, '{_NONE}', lpad(lower(hex(xxhash64(own) & 65535)), 4, '0'))")
         return _let(f"transform(held, t -> named_struct('part', cast(pmod(xxhash64(t, {seed}), {subsets}) as int), 'term', t))", "tagged", f"array_join(transform(sequence(0, {subsets - 1}), k -> {own}), '')")
 
-    whole = f"if(size(held) = 0, concat('=', hex(xxhash64(sort_array(every)))), concat({', '.join(one_round(k) for k in range(rounds))}))"
-    return F.expr(_let(every, "every", _let(f"sort_array({held})", "held", whole)))
+    held = f"sort_array(if(size(band) < {least_band}D * size(every), every, band))"
+    whole = f"if(size(held) = 0, concat('=', hex(xxhash64(held))), concat({', '.join(one_round(k) for k in range(rounds))}))"
+    return F.expr(_let(every, "every", _let(band, "band", _let(held, "held", whole))))
 
 
 def likeness(a: Column, b: Column, subsets: int = 32, rounds: int = 2) -> Column:
