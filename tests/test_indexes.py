@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vectrill import catalog
 from vectrill.operators import indexes, kmeans, knn, quantize
 
 
@@ -64,6 +65,24 @@ def test_forest_recall(cloud):
     assert len(set(found) & set(exact(cloud, asked(cloud)))) >= 9
 
 
+def test_joins_match_searches(cloud):
+    queries = cloud.where("id in (5, 6)").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    index, graph, paths = indexes.ivf_build(cloud, 8, 5), indexes.graph_build(cloud, 2, 8, 64).cache(), indexes.forest_paths(cloud, 12, 6)
+    for join, one in (
+        (indexes.ivf_join(index, queries, 10, 3), indexes.ivf_search(index, asked(cloud), 10, 3)),
+        (indexes.graph_join(graph, queries, 10, 100), indexes.graph_search(graph, asked(cloud), 10, 100)),
+        (indexes.forest_join(paths, queries, 10, trees=12, depth=6), indexes.forest_search(paths, asked(cloud), 10, trees=12, depth=6)),
+    ):
+        assert [r.id for r in join.where("query_id = 5").orderBy("rank").collect()] == [r.id for r in one.collect()]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_of_indexes(spark, sf):
+    got = catalog.queries()["index_recall_at_k"](spark, f"/root/testdata/{sf}").groupBy("index").agg(F.avg("recall").alias("r"), F.count("*").alias("n")).collect()
+    print("RECALL", sf, [tuple(r) for r in got])
+    assert len(got) == 3 and all(r.r >= 0.9 and r.n == (20 if sf == "sf0.1" else 5) for r in got)
+
+
 def test_tiers(cloud):
     hot = cloud.where("id < 100")
     assert [r.id for r in indexes.tiered_search(hot, cloud, asked(cloud), 10).collect()] == exact(cloud, asked(cloud))

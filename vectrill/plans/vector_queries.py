@@ -260,6 +260,8 @@ def binary_cosine_topk(spark, sf_dir):
 # --- indexes --------------------------------------------------------------------------------
 
 _CLUSTERS = 5
+#: Of the measured inverted lists.
+_RECALL_LISTS, _RECALL_PROBES = 10, 8
 _ONE_STEP = f"""{_RAW}, c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS c, e AS ce FROM v QUALIFY row_number() OVER (ORDER BY vec_id) <= {_CLUSTERS}),
 a0 AS (SELECT vec_id, e, c FROM v, c0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round({_sql_l2('e', 'ce')}, 12), c) = 1),
 c1 AS (SELECT c, list(m ORDER BY i) AS ce FROM (SELECT c, i, round(avg(e[i]), 9) AS m FROM a0, range(1, 65) t(i) GROUP BY c, i) GROUP BY c),
@@ -307,6 +309,21 @@ def rp_forest_search(spark, sf_dir):
     return indexes.forest_search(indexes.forest_paths(df, vector_col="embedding"), _asked(df), K, id_col="vec_id", vector_col="embedding").select("vec_id", "distance", "score")
 
 
+@query()
+def index_recall_at_k(spark, sf_dir):
+    """Of the inverted lists, the graph and the forest against the exact join, for every id divisible by 100."""
+    df = _embeddings(spark, sf_dir)
+    asked = df.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    exact = knn.knn_join(df, asked, K, "cosine", "vec_id", "embedding", "query_id", "query")
+    found = {
+        "ivf": indexes.ivf_join(indexes.ivf_build(df, _RECALL_LISTS, 10, "cosine", "vec_id", "embedding"), asked, K, _RECALL_PROBES, "vec_id", "embedding"),
+        "graph": indexes.graph_join(indexes.graph_build(df, 4, 8, 64, "cosine", "vec_id", "embedding"), asked, K, 100),
+        "forest": indexes.forest_join(indexes.forest_paths(df, vector_col="embedding"), asked, K, id_col="vec_id", vector_col="embedding"),
+    }
+    parts = [knn.recall_at_k(hits, exact, K).withColumn("index", F.lit(name)) for name, hits in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(f"SELECT vec_id, distance, score, vec_id // 100 AS page_id FROM ({_sql_top(_sql_cosine('e', 'qe'), _RAW)})")
 def paged_topk(spark, sf_dir):
     """From pages on disk, read back."""
