@@ -235,6 +235,46 @@ def test_ftrl_by_hand():
     assert ftrl.weights(np.array([1]))[0] == pytest.approx(0.4 / ((1 + 0.5) / 0.5))
 
 
+def plain_features(text):
+    w = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(A_TO_Z).encode())
+    return {("w", x) for x in w} | {("s", x[:4]) for x in w if len(x) > 4} | {("p", *x) for x in zip(w, w[1:])} | {("k", *x) for x in zip(w, w[2:])}
+
+
+def test_toxicity_features():
+    texts = ["A b c D", "abcdefgh bcd abcz a-b", "", None, "Über über ÜBER x1 x2 x1 x2"]
+    _, offsets = toxicity.features(pa.array(texts), 28)
+    assert np.diff(offsets).tolist() == [len(plain_features(t)) for t in texts]
+
+
+def test_toxicity_against_plain_ftrl(spark, docs):
+    """Score of every document as a plain dictionary of coordinates gives it, learnt in the order of the ids' hashes."""
+    labels = {i: int(i % 3 == 0) for i in (*range(30), 104, 110)}
+    frame_of = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    model = toxicity.learn(docs, frame_of, bits=20, epochs=3, l1=0.3)
+    streamed = toxicity.learn(docs, frame_of, bits=20, epochs=3, l1=0.3, held_slots=10)
+    assert np.array_equal(model.slots, streamed.slots) and np.array_equal(model.weights, streamed.weights)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    order = [r[0] for r in frame_of.orderBy(F.xxhash64("doc_id")).select("doc_id").collect()]
+    order = [i for i in order for _ in range(1 + (i == 7))]  # the repeated row
+    slots = {i: toxicity.features(pa.array([t]), 20)[0].tolist() for i, t in TEXTS.items()}
+    z, n = Counter(), Counter()
+
+    def weight(k):
+        l1 = 0 if k == "b" else 0.3
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / (1 + math.sqrt(n[k]) + 0.1)
+
+    for _ in range(3):
+        for i in order:
+            keys = [*slots[i], "b"]
+            w = [weight(k) for k in keys]
+            g = 1 / (1 + math.exp(-sum(w))) - labels[i]
+            for k, x in zip(keys, w, strict=True):
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) * x
+                n[k] += g * g
+    for i in TEXTS:
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-min(35, max(-35, sum(weight(k) for k in [*slots[i], "b"]))))), abs=1e-6)
+
+
 # 7 -----------------------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,18 @@ def source_path(df: DataFrame) -> str:
     return df.inputFiles()[0].rpartition("/")[0]
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Jobs that are run inside send Arrow batches of so many rows at most; for wide rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fold(id_column: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo: 0 marks the held-out fold."""
     return F.crc32(id_column.cast("string")) % modulus

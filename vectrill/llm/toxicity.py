@@ -5,8 +5,10 @@ and pairs that skip one word, hashed to 2**bits slots. FTRL-proximal
 keeps a learning rate for each coordinate and its L1 term leaves most weights exactly 0, so that the model is a short
 list of (slot, weight) that can be broadcast: at most 2**bits of them.
 
-Learning takes at most `max_rows` labelled documents, those whose ids hash lowest; one task runs the online updates in
-that order, over features that all tasks make. Scoring covers whole texts.
+Learning takes at most `max_rows` labelled documents, those whose ids hash lowest. All tasks make their features, which
+are written once; one task runs the online updates over them in that order. It holds them as 32-bit integers; if they are
+more than `held_slots`, each epoch is a task of its own that streams them instead, with the same result, so that memory is
+bounded however long the texts are. Scoring covers whole texts.
 
 Defined cases: words are runs of digits, a to z (A-Z lower-cased) and characters beyond ASCII. Texts without a word
 (null and empty ones too) have no features and take the intercept's score. Labels that are null or belong to no
@@ -16,7 +18,7 @@ are scored each; input columns stay, but for those called like an output column.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +33,8 @@ _U64 = np.uint64
 
 #: Bytes of a stem.
 STEM = 4
+#: Slots that learning has met, and their two sums.
+State = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 @dataclass(frozen=True)
@@ -63,8 +67,10 @@ def features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
 class Ftrl:
     """FTRL-proximal for binary features; the intercept has no L1 term."""
 
-    def __init__(self, size: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1) -> None:
+    def __init__(self, size: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1, state: State | None = None) -> None:
         self.z, self.n = np.zeros(size + 1), np.zeros(size + 1)
+        if state:
+            self.z[state[0]], self.n[state[0]] = state[1:]
         self.alpha, self.beta, self.l1, self.l2, self.last = alpha, beta, l1, l2, size
 
     def weights(self, at: np.ndarray) -> np.ndarray:
@@ -79,21 +85,23 @@ class Ftrl:
         self.z[at] += gradient - (np.sqrt(n + gradient**2) - np.sqrt(n)) / self.alpha * w
         self.n[at] = n + gradient**2
 
+    def state(self) -> State:
+        """What the coordinates seen so far have gathered."""
+        at = np.flatnonzero(self.n)
+        return at, self.z[at], self.n[at]
 
-def train(rows: list[tuple[np.ndarray, int]], bits: int, epochs: int, **rates) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, weights) that are not 0; slot 2**bits is the intercept."""
-    ftrl = Ftrl(1 << bits, **rates)
-    for _ in range(epochs):
-        for slots, label in rows:
-            ftrl.update(slots, label)
-    weights = ftrl.weights(np.arange((1 << bits) + 1))
-    at = np.flatnonzero(weights)
-    return at, weights[at]
+
+def train(rows: Iterable[tuple[np.ndarray, int]], bits: int, state: State | None = None, **rates) -> Ftrl:
+    """One epoch, carried on from a state; slot 2**bits is the intercept."""
+    ftrl = Ftrl(1 << bits, state=state, **rates)
+    for slots, label in rows:
+        ftrl.update(slots, label)
+    return ftrl
 
 
 def learn(
     df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_rows: int = 20_000, bits: int = 20, epochs: int = 4, **rates,
+    max_rows: int = 20_000, bits: int = 20, epochs: int = 4, held_slots: int = 50_000_000, **rates,
 ) -> Model:
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     chosen = marked.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)  # so the broadcast has max_rows rows at most
@@ -104,20 +112,50 @@ def learn(
             slots, offsets = features(batch.column("text"), bits)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_label"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(slots))], ["_id", "_label", "slots"])
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for batch in batches:
-            lists = batch.column("slots")
-            rows += [(lists[i].values.to_numpy(), label) for i, label in enumerate(batch.column("_label").to_pylist())]
-        at, weights = train(rows, bits, epochs, **rates) if rows else (np.zeros(0, np.int64), np.zeros(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weights)], ["slot", "weight"])
-
     id_type = df.schema[id_col].dataType
-    made = texts.mapInArrow(make, T.StructType([T.StructField("_id", id_type), T.StructField("_label", T.IntegerType()), T.StructField("slots", T.ArrayType(T.IntegerType()))]))
-    one = made.repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id").mapInArrow(fit, "slot long, weight double").toArrow()
-    slots, weights = one.column("slot").to_numpy(), one.column("weight").to_numpy()
-    inner = slots < 1 << bits
-    return Model(slots[inner], weights[inner], float(weights[~inner].sum()), bits, empty=not len(slots))
+    schema = T.StructType([T.StructField("_id", id_type), T.StructField("_label", T.IntegerType()), T.StructField("slots", T.ArrayType(T.IntegerType()))])
+    with common.small_batches(df.sparkSession):
+        made = common.materialize(texts.mapInArrow(make, schema), "features")
+        slots = made.agg(F.sum(F.size("slots").cast("long"))).first()[0] or 0
+        state, at_once = None, epochs if slots <= held_slots else 1
+        for _ in range(epochs // at_once):
+            state = _learnt(made, bits, at_once, state, rates)
+    ftrl = Ftrl(1 << bits, state=state, **rates)
+    weights = ftrl.weights(np.arange((1 << bits) + 1))
+    slots = np.flatnonzero(weights[:-1])
+    return Model(slots, weights[slots], float(weights[-1]), bits, empty=not len(state[0]))
+
+
+def _learnt(made: DataFrame, bits: int, epochs: int, state: State | None, rates: dict) -> State:
+    """The state after so many epochs; the rows are held if there are several."""
+    sent = made.sparkSession.sparkContext.broadcast(state)  # at most 2**bits + 1 slots
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, list[int]]] = []
+
+        def parts() -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+            for batch in batches:
+                lists = batch.column("slots")
+                offsets = lists.offsets.to_numpy()
+                part = lists.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0], batch.column("_label").to_pylist()
+                if epochs > 1:
+                    part = (part[0].copy(), *part[1:])  # so that the batch can go
+                    held.append(part)
+                yield part
+
+        def rows() -> Iterator[tuple[np.ndarray, int]]:
+            for epoch in range(epochs):
+                for slots, offsets, labels in held if epoch else parts():
+                    for i, label in enumerate(labels):
+                        yield slots[offsets[i] : offsets[i + 1]], label
+
+        at, z, n = train(rows(), bits, sent.value, **rates).state()
+        for i in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (at, z, n)], ["slot", "z", "n"])
+
+    one = made.repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id").mapInArrow(fit, "slot long, z double, n double").toArrow()
+    sent.unpersist()
+    return tuple(one.column(c).to_numpy() for c in ("slot", "z", "n"))
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", score_out: str = "score") -> DataFrame:
