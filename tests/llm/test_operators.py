@@ -348,6 +348,19 @@ def test_every_capacity_holds(rule):
         packing.best_fit(np.array([5000]), packing.Capacities())
 
 
+def test_packing_tokens(monkeypatch):
+    """Ids of whole slices as the library gives them, also while words are forgotten."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = packing.WordBpe(path)
+    monkeypatch.setattr(packing, "CACHED", 40)
+    texts = ["ÀÉÎÖØÞß ×÷ ÿŸ ñ Ñ̃ é É", "a\tb\rc d \x00 x\x07y", "don't (abc) --- !!! ÄÖÜ!!", "", None, "x" * 100, "Ünï,cö.dé", "<|endoftext|> hello<|endoftext|>", "İstanbul ẞ ΑΣ", "日本語 🙂a", " a  b \n\n c "]
+    for some in (texts, texts[::-1], list(TEXTS.values()), texts):
+        ids, bounds = encoder.encode(pa.array(some, pa.string()))
+        for i, text in enumerate(some):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == encoder.library.encode(text or "", add_special_tokens=False).ids
+    assert len(encoder.encode(pa.array([], pa.string()))[0]) == 0
+
+
 # 9 -----------------------------------------------------------------------------------------
 
 
