@@ -130,11 +130,12 @@ def test_model_is_a_distribution():
     counts = np.random.default_rng(1).random((2, len(lm_scoring.ORDERS), 1 << 10)).astype(np.float32) * 9
     weights = lm_scoring.start_weights()
     one = pa.array([b"Wab" + bytes([x]) for x in range(256)] + [b"Wab"], pa.binary())
-    p = 10 ** lm_scoring.log10_probability(one, counts, weights, 10)
+    refine = np.random.default_rng(2).normal(0, 2, lm_scoring._MAPS * lm_scoring._STEPS)
+    p = 10 ** lm_scoring.log10_probability(one, counts, weights, 10, refine=refine)
     inner = pa.array([b"Wab" + bytes([x]) for x in range(256)], pa.binary())
     bits = lm_scoring.coded(inner, 10)
     x, gate = lm_scoring._inputs(bits, counts, 0.0)
-    z = lm_scoring._mixed(x, gate, weights)
+    z = lm_scoring._refined(lm_scoring._mixed(x, gate, weights), gate, refine)
     logs = -np.logaddexp(0, np.where(bits.bit == 1, -z, z))
     last_flag = np.array([np.flatnonzero(bits.segment == s)[-1] for s in range(256)])
     total = np.bincount(bits.segment, logs, 256) - logs[last_flag]
@@ -164,13 +165,76 @@ def test_counts_grow_with_the_corpus(spark):
     assert whole.longest[whole.pair * 9].tolist() == flags
 
 
+def plain_segments(text):
+    found = re.findall(rb"[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", text)
+    after_word = [False, *(x[0] not in b" \t\n\x0b\x0c\r" for x in found)]
+    return [(b"S" if w else b"W") + x for w, x in zip(after_word, [*found, b""], strict=True)]
+
+
 def test_segments():
-    text = b" a  b\n"
-    keys = lm_scoring.segments(text)
-    assert keys == Counter([b"Wa", b"Wb", b"W ", b"S  ", b"S\n", b"W"])
-    assert lm_scoring.segments(b"") == Counter([b"W"]) and lm_scoring.segments(b"x") == Counter([b"Wx", b"S"])
-    assert lm_scoring.segments(b"\n\n") == Counter([b"W\n\n", b"W"]) and lm_scoring.segments(b"a b c ") == Counter([b"Wa", b"Wb", b"Wc", b"S ", b"S ", b"S ", b"W"])
-    assert lm_scoring.segments(b"\ta b") == Counter([b"W\t", b"Wa", b"Wb", b"S ", b"S"])
+    texts = [*TEXTS.values(), " a  b\n", "x", "\n\n", "a b c ", "\ta b", "the cat sat on the mat again and " * 40 + " z"]
+    p = lm_scoring.Parsed(pa.array(texts), 3, 2)
+    keys = p.keys(np.arange(len(p.hash)))
+    assert np.array_equal(lm_scoring.key_hashes(keys), p.hash)
+    assert p.token.tolist() == [len(k) == 1 or (k[:1] == b"W" and k[1] not in b" \t\n\x0b\x0c\r") for k in keys.to_pylist()]
+    got = [Counter({b"S ": int(p.singles[p.text == i].sum())}) for i in range(len(texts))]
+    for k, span in zip(keys.to_pylist(), p.span.tolist(), strict=True):
+        got[p.text[span]][k] += 1
+    assert [+c for c in got] == [Counter(plain_segments(t.encode().lower())) for t in texts]
+
+
+def test_spans_follow_the_text():
+    """Equal passages have equal spans wherever they stand, and a span's hash tells the order of its words."""
+    words = [f"w{x}" for x in np.random.default_rng(9).integers(0, 97, 400)]
+    p = lm_scoring.Parsed(pa.array([" ".join(words), "other words first " + " ".join(words[50:]), " ".join(words[::-1])]), 6, 3)
+    pairs = [set(zip(p.context[p.text == t][1:].tolist(), p.whole[p.text == t][1:].tolist(), strict=True)) for t in range(3)]
+    assert len(pairs[0]) > 20 and len(pairs[0] & pairs[1]) >= 0.7 * len(pairs[0]) and not pairs[0] & pairs[2]
+
+
+def test_repeated_passages_and_order(spark):
+    """A text that another one has word for word scores far better than the same words in another order."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"{a}{b}" for a in "bcdfg" for b in ("ar", "el", "in", "os", "ut")]
+    texts = [" ".join(rng.choice(vocabulary, 300)) for _ in range(20)]
+    mixed = " ".join(rng.permutation(texts[3].split()))
+    rows_ = [(i, t, True) for i, t in enumerate(texts)] + [(50, texts[3], False), (51, mixed, False), (52, texts[4], True)]
+    got = {r.id: r for r in lm_scoring.score(spark.createDataFrame(rows_, "id long, text string, learn boolean"), F.col("learn"), id_col="id", table_bits=12, span_bits=3).collect()}
+    assert got[50].base_score == pytest.approx(got[51].base_score) and got[50].score > 0.5 * got[51].score and got[51].n_repeated == 0 and got[50].n_repeated > 200
+    assert got[52].n_repeated > 200 and got[4].n_repeated == got[52].n_repeated and got[7].n_repeated == 0
+
+
+def test_learning_helps():
+    """On segments not learnt from, learnt weights and the map do better than the start weights, and known words about as
+    well as their own frequencies, though they are coded byte by byte."""
+    rng = np.random.default_rng(4)
+    vocabulary = [b"W" + "".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))).encode() for _ in range(4000)]
+    p = 1 / np.arange(2, 4002)
+    sample = [Counter(rng.choice(4000, 60_000, p=p / p.sum()).tolist()) for _ in range(2)]
+    merged = Counter()
+    for i, n in sample[0].items():
+        merged[vocabulary[i]] += n
+    keys, number = pa.array(sorted(merged), pa.binary()), np.array([merged[k] for k in sorted(merged)])
+    tokens = pa.RecordBatch.from_arrays([keys, pa.array(number)], ["key", "n"])
+    counts = [[np.zeros(1 << 16, np.float32) for _ in lm_scoring.ORDERS[:-1]] for _ in range(2)]
+    bits = lm_scoring.coded(keys, 16)
+    for k in range(5):
+        for v in (0, 1):
+            np.add.at(counts[v][k], bits.slots[k][bits.bit == v], number[bits.segment][bits.bit == v])
+    weights, seen, came = lm_scoring.learn_weights(((b.column("key"), b.column("n").to_numpy(), w) for b, w in lm_scoring._with_prefixes(iter([tokens]), True, 1.0)), counts, 16)
+    weights = np.where(seen[:, None] > 0, weights, lm_scoring.start_weights())
+    fresh = Counter()
+    for i, n in sample[1].items():
+        fresh[vocabulary[i]] += n
+
+    def cost(weights, refine):
+        known = {}
+        for b, whole in lm_scoring._with_prefixes(iter([tokens]), False, 0.0):
+            known |= dict(zip(b.column("key").to_pylist(), lm_scoring.log10_probability(b.column("key"), counts, weights, 16, whole, refine).tolist(), strict=True))
+        return sum(n * known[k] for k, n in fresh.items() if k in known)
+
+    own = sum(n * math.log10(merged[k] / number.sum()) for k, n in fresh.items() if k in merged)
+    start, learnt, refined = cost(lm_scoring.start_weights(), None), cost(weights, None), cost(weights, lm_scoring.map_logits(came))
+    assert start < learnt < refined and refined > 1.06 * own
 
 
 # 4 -----------------------------------------------------------------------------------------

@@ -80,6 +80,12 @@ def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a materialized DataFrame that nothing will read again."""
+    if df.inputFiles():
+        delete_path(df.sparkSession, source_path(df))
+
+
 def fold(id_column: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo: 0 marks the held-out fold."""
     return F.crc32(id_column.cast("string")) % modulus
@@ -170,16 +176,28 @@ class Words:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from prefix sums of a polynomial modulo 2**64."""
+    """A 64-bit hash of each span of bytes."""
+    with np.errstate(over="ignore"):
+        return run_hashes(data.astype(_U64) + _U64(1), start, end)
+
+
+def run_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of 64-bit values, from prefix sums of a polynomial modulo 2**64."""
     if not len(start):
         return np.zeros(0, _U64)
-    up, down = _Powers.get(len(data) + 1)
+    up, down = _Powers.get(len(values) + 1)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, _U64)
-        np.cumsum((data.astype(_U64) + _U64(1)) * up[: len(data)], out=sums[1:])
+        sums = np.zeros(len(values) + 1, _U64)
+        np.cumsum(values * up[: len(values)], out=sums[1:])
         return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U64))
 
 
+def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The indexes start, start + 1, ... of each run of count, one run after the other."""
+    ends = np.cumsum(count)
+    return np.repeat(start - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column without gaps, and its n + 1 offsets; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -217,7 +235,6 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     edges are never gathered in one place; the edges shrink to stars in logarithmically many rounds. Loops and
     repeated edges are allowed; nodes without an edge to another node do not appear.
     """
-    spark = edges.sparkSession
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag)
     seen = None
     while True:
@@ -229,7 +246,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).where("u <> v").distinct()
         now = materialize(small, tag)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        delete_path(spark, source_path(old)) if old.inputFiles() else None
+        discard(old)
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = state

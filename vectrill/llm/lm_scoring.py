@@ -1,70 +1,144 @@
 """Language-model scores by logistic context mixing.
 
-A text (A-Z lower-cased) is a sequence of segments: words, the white space between them, and an end. Each segment is
-coded bit by bit: before each byte a flag says whether one follows, then come its 8 bits. Every bit is predicted from
-hashed contexts (the last 0 to 4 bytes of the segment, and all of it so far); the predictions' logits are mixed by
-weights that a gate selects, from how often the longest contexts were seen and which bit is coded. Weights are learnt
-online: each task steps through its segments in small batches, always predicting before it learns, with the segment's
-own occurrence left out of the counts; the tasks' weights are averaged. The score is the sum over all segments.
-
-As segments do not depend on each other, the model is run once for each distinct segment, however large the corpus:
-counts of distinct segments (a pre-aggregated sum over all documents) are both its training set and what it scores.
+A text (A-Z lower-cased) is a sequence of segments: words, the white space between them, and an end.
+
+Bits. Each segment is coded bit by bit: before each byte a flag says whether one follows, then come its 8 bits. Every bit is
+predicted from hashed contexts (the last 0 to 4 bytes of the segment, and all of it so far); the predictions' logits are
+mixed by weights that a gate selects, from how often the longest contexts were seen and which bit is coded, and the mix is
+refined by an adaptive map of what came true at about that probability. Weights and map are learnt online: each task steps
+through its segments in small batches, always predicting before it learns, with the segment's own occurrence left out of
+the counts and each segment weighing as often as it occurs; the tasks' weights are averaged, their maps summed.
+
+Spans. Contexts that cross white space come from a match model. After any `context_words` words whose hash ends in
+`span_bits` zero bits a span begins (so of about 2**span_bits words, at the same places in equal passages), up to the next
+such place. Where the words before a span were seen in learning, one more bit says whether the span is the one that most
+often followed them; if so, that is all that is coded of it. This bit's probability is learnt for each pair of counts of
+the two most frequent spans. A document that is learnt from is scored with its own occurrence left out of these counts, or
+every text would predict itself.
+
+Bits of a segment do not depend on other segments, so the mixer is run once for each distinct segment, however large the
+corpus: counts of distinct segments (a pre-aggregated sum over all documents) are both its training set and what it scores.
 The counts grow with the corpus. Those of the whole segment so far are exact: segments are dealt by their first four
 bytes, so a task has all that share a longer prefix; a shorter prefix is the same as the context of four bytes. The
-other orders have at least two slots for each distinct bit context of the corpus and are broadcast. Segments that make up at least 1/`common_parts` of all are at
-most `common_parts` in number and are broadcast too; the others reach their documents through a join.
+other orders have at least two slots for each distinct bit context of the corpus, up to 2**`most_bits` slots, and are
+broadcast. Segments that make up at least 1/`common_parts` of all are at most `common_parts` in number and are broadcast
+too, as are the span contexts of that share; the others reach their documents through joins.
 
 Defined cases: null and empty texts consist of the end alone. Repeated rows are scored each. Extra columns are ignored.
-With nothing to learn from, every bit has probability 1/2. Words are `[^\\x20\\x09-\\x0D]+`.
+With nothing to learn from, every bit has probability 1/2. Words are `[^\\x20\\x09-\\x0D]+`. Segments, contexts and spans
+are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectrill.llm import _common as common
 
 _U64 = np.uint64
-_NOT_ONE_SPACE = re.compile(rb"[\x20\x09-\x0D]{2,}|[\x09-\x0D]")
-_WHITE = frozenset(b" \t\n\x0b\x0c\r")
 #: Bytes of context; the last is the whole segment so far.
 ORDERS = (0, 1, 2, 3, 4, None)
 _WORD, _SPACE = b"W", b"S"
-_HELD = 300_000
+_HELD, _SENT = 1_500_000, 50_000
 _BATCH = 500
 _GATES = 12 * 4 * 9
+_W, _S = 0x57, 0x53
+_MARKED = np.zeros(256, _U64)
+_MARKED[[_W, _S]] = 0x8CB92BA72F3D8DD7, 0x2545F4914F6CDD1D
+_LAST = _U64(0x9E6C63D0876A9A47)
 
 
-def segments(text: bytes) -> Counter[bytes]:
-    """How often each segment stands in a lower-cased text, by key: W and what comes at the start or after white space, S and
-    what comes after a word; W or S alone is the end."""
-    words = text.split()  # of bytes: at ASCII white space
-    if not words:
-        return Counter([_WORD + text, _WORD] if text else [_WORD])
-    out = Counter({_WORD + w: n for w, n in Counter(words).items()})
-    other = _NOT_ONE_SPACE.findall(text)
-    lead, trail = text[0] in _WHITE, text[-1] in _WHITE
-    single = len(words) - 1 + lead + trail - len(other)
-    if lead:
-        first = b" " if text[1] not in _WHITE and text[0] == 0x20 else other.pop(0)
-        single -= first == b" "
-        out[_WORD + first] += 1
-    for space, n in Counter(other).items():
-        out[_SPACE + space] = n
-    if single:
-        out[_SPACE + b" "] += single
-    out[_WORD if trail else _SPACE] += 1
-    return out
+def _key_hash(hashes: np.ndarray, mark: np.ndarray | int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return common.mix(hashes + _MARKED[mark])
+
+
+class Parsed:
+    """The segments and spans of some texts.
+
+    A key is W and what comes at the start or after white space, or S and what comes after a word; W or S alone is the
+    end. Single spaces after a word are only counted (`singles`, by span); of all other segments there are hash, mark,
+    start and end (in data), token (a word or an end) and span. `head` has each text's first span, `text` each span's
+    text, `context` the hash of the words before (0 for a first span) and `whole` that of all that is in it.
+    """
+
+    def __init__(self, texts: pa.Array, context_words: int, span_bits: int) -> None:
+        words = common.Words(texts, common.SPACED, lower=True)
+        data, start, end, bounds, offsets = words.data, words.start, words.end, words.bounds, words.offsets
+        n_texts, text, some = len(offsets) - 1, words.text_of_word(), words.counts > 0
+        last = np.zeros(len(start), bool)
+        last[bounds[1:][some] - 1] = True
+        after = np.append(start[1:], 0)
+        after[last] = offsets[1:][some]
+        gap = after - end
+        single = gap == 1
+        single[single] = data[end[single]] == 0x20
+        odd = np.flatnonzero((gap > 0) & ~single)
+        first = np.where(some, start[np.minimum(bounds[:-1], max(0, len(start) - 1))] if len(start) else 0, offsets[1:])
+        lead = np.flatnonzero(first > offsets[:-1])
+
+        word_hash, odd_hash = words.hashes(), common.span_hashes(data, end[odd], after[odd])
+        unit = np.zeros(len(start), _U64)
+        unit[single] = 1
+        unit[odd] = odd_hash
+        unit[last] ^= _LAST
+        with np.errstate(over="ignore"):
+            unit = common.mix(word_hash * _U64(0xD6E8FEB86659FD93) + unit)
+        at = np.flatnonzero(np.arange(len(start)) - context_words >= np.repeat(bounds[:-1], words.counts))
+        seen = common.run_hashes(unit, at - context_words, at)
+        chosen = seen & _U64((1 << span_bits) - 1) == 0
+        anchor = np.zeros(len(start), bool)
+        anchor[at[chosen]] = True
+        anchors = np.concatenate([[0], np.cumsum(anchor)])
+        self.head = np.arange(n_texts) + anchors[bounds[:-1]]
+        of_word = text + anchors[1:]
+        spans = n_texts + int(anchors[-1])
+        self.text = np.repeat(np.arange(n_texts), np.diff(np.append(self.head, spans)))
+        self.context = np.zeros(spans, _U64)
+        self.context[of_word[at[chosen]]] = seen[chosen]
+        n_words = np.bincount(of_word, minlength=spans)
+        to = np.cumsum(n_words)
+        self.whole = common.run_hashes(unit, to - n_words, to)
+        self.singles = np.bincount(of_word[single], minlength=spans)
+
+        final = np.append(self.head[1:], spans) - 1
+        ends_word = np.zeros(n_texts, bool)
+        ends_word[text[last & (gap == 0)]] = True
+        lead_hash = common.span_hashes(data, offsets[:-1][lead], first[lead])
+        none = np.zeros(n_texts, np.int64)
+        self.data, self.size = data, np.diff(offsets)
+        self.start = np.concatenate([start, end[odd], offsets[:-1][lead], none])
+        self.end = np.concatenate([end, after[odd], first[lead], none])
+        self.mark = np.concatenate([np.full(len(start), _W), np.full(len(odd), _S), np.full(len(lead), _W), np.where(ends_word, _S, _W)]).astype(np.uint8)
+        self.token = np.repeat([True, False, True], [len(start), len(odd) + len(lead), n_texts])
+        self.span = np.concatenate([of_word, of_word[odd], self.head[lead], final])
+        self.hash = _key_hash(np.concatenate([word_hash, odd_hash, lead_hash, common.span_hashes(data, none, none)]), self.mark)
+
+    def keys(self, at: np.ndarray) -> pa.Array:
+        size = (self.end - self.start)[at] + 1
+        ends = np.cumsum(size)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+        inner = np.ones(len(out), bool)
+        inner[ends - size] = False
+        out[~inner], out[inner] = self.mark[at], self.data[common.spread(self.start[at], size - 1)]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.concatenate([[0], ends])), pa.py_buffer(out)]).cast(pa.binary())
+
+
+def key_hashes(keys: pa.Array) -> np.ndarray:
+    data, offsets = common.text_bytes(_as_text(keys))
+    return _key_hash(common.span_hashes(data, offsets[:-1] + 1, offsets[1:]), data[offsets[:-1]])
+
+
+_SINGLE = b"S "
+_SINGLE_HASH = _key_hash(common.span_hashes(np.array([0x20], np.uint8), np.array([0]), np.array([1])), _S)[0]
 
 
 def _is_word() -> Column:
@@ -73,23 +147,29 @@ def _is_word() -> Column:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter[bytes] = Counter()
+    """(key, n) of the segments; n counts texts that are learnt from."""
+    held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
 
-    def out() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["key", "n"])
+    def out() -> Iterator[pa.RecordBatch]:
+        hashes, index, inverse = np.unique(np.concatenate([h for h, _, _ in held]), return_index=True, return_inverse=True)
+        n = np.bincount(inverse, np.concatenate([n for _, n, _ in held]), len(hashes)).astype(np.int64)
+        keys = pa.chunked_array([k for _, _, k in held]).take(pa.array(index)).combine_chunks()
         held.clear()
-        return batch
+        whole = pa.RecordBatch.from_arrays([keys, pa.array(n)], ["key", "n"])
+        for at in range(0, len(n), _SENT):
+            yield whole.slice(at, _SENT)
 
     for batch in common.slices(batches):
-        for text, learn in zip(batch.column("text").to_pylist(), batch.column("learn").to_pylist(), strict=True):
-            got = segments((text or "").encode().lower())
-            if learn:
-                held.update(got)
-            else:
-                held.update(dict.fromkeys(got, 0))
-        if len(held) > _HELD:
-            yield out()
-    yield out()
+        parsed = Parsed(batch.column("text"), 1, 64)
+        learn = batch.column("learn").to_numpy(zero_copy_only=False)[parsed.text]
+        hashes, index, inverse = np.unique(parsed.hash, return_index=True, return_inverse=True)
+        held.append((hashes, np.bincount(inverse, learn[parsed.span], len(hashes)), parsed.keys(index)))
+        singles = np.array([parsed.singles[learn].sum()], np.float64)
+        held.append((np.array([_SINGLE_HASH]), singles, pa.array([_SINGLE], pa.binary())))
+        if sum(len(h) for h, _, _ in held) > _HELD:
+            yield from out()
+    if held:
+        yield from out()
 
 
 # --- the model ------------------------------------------------------------------------------
@@ -175,8 +255,12 @@ def _as_text(keys: pa.Array) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(keys), keys.buffers()[1], keys.buffers()[2], keys.buffers()[0], keys.null_count, keys.offset)
 
 
+#: Added to the counts of a bit's two values: small, as most contexts have seen one value only.
+_ADDED = np.float32(0.02)
+
+
 def _stretch(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return np.log((one + np.float32(0.4)) / (zero + np.float32(0.4)))
+    return np.log((one + _ADDED) / (zero + _ADDED))
 
 
 def _longest(seen: np.ndarray) -> np.ndarray:
@@ -263,8 +347,10 @@ def _inputs(bits: Bits, counts: np.ndarray | Logits, left_out: float, whole: Pre
 
 
 def start_weights() -> np.ndarray:
-    """[gate, order]: the highest orders count most."""
-    return np.tile(np.array([0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.0]), (_GATES, 1))
+    """[gate, order]: the whole segment so far counts the more the oftener it was seen; of the others the longest count most."""
+    whole = np.minimum(1.0, np.arange(12) / 4)  # by the binary logarithm of how often
+    rest = (1 - whole)[:, None] * np.array([0.05, 0.1, 0.15, 0.25, 0.45])
+    return np.repeat(np.column_stack([rest, whole, np.zeros(12)]), _GATES // 12, axis=0)
 
 
 def _mixed(x: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -274,25 +360,63 @@ def _mixed(x: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.clip(out, -30, 30).astype(np.float64)
 
 
-def learn_weights(batches: Iterator[tuple[pa.Array, np.ndarray, Prefixes | None]], counts: np.ndarray | Logits, table_bits: int | list[int], rate: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
-    """Online: predict a small batch, then step down its gradient. Returns the weights and how much each gate has seen."""
-    weights, seen, counts = start_weights(), np.zeros(_GATES), Logits.of(counts, 1.0)
+#: The refining map: for each gate's first summand and kind, logits from -_REACH to _REACH in steps of 1/2.
+_REACH, _STEPS = 8, 33
+_MAPS = 12 * 9
+
+
+def _buckets(z: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of mixed logits: the place in the map below, and how far they are towards the next one."""
+    at = np.clip((z + _REACH) * 2, 0, _STEPS - 1.001)
+    low = at.astype(np.int64)
+    return (gate // 36 * 9 + gate % 9) * _STEPS + low, at - low
+
+
+def map_logits(came: np.ndarray) -> np.ndarray:
+    """The map's logits from [zeros and ones][place]; places hardly met keep their own."""
+    own = np.tile(np.linspace(-_REACH, _REACH, _STEPS), _MAPS)
+    p = 1 / (1 + np.exp(-own))
+    return np.log((came[1] + 16 * p) / (came[0] + 16 * (1 - p)))
+
+
+def _refined(z: np.ndarray, gate: np.ndarray, refine: np.ndarray | None) -> np.ndarray:
+    """The mean of a mixed logit and what the map makes of it."""
+    if refine is None:
+        return z
+    place, part = _buckets(z, gate)
+    return np.where(np.abs(z) < _REACH, (z + refine[place] * (1 - part) + refine[place + 1] * part) / 2, z)
+
+
+def learn_weights(
+    batches: Iterator[tuple[pa.Array, np.ndarray, Prefixes | None]], counts: np.ndarray | Logits, table_bits: int | list[int], rate: float = 0.3
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Online: predict a small batch, then step down its gradient, over the inputs' mean squares. Returns the weights, how
+    much each gate has seen, and what came in each place of the map."""
+    weights, seen, counts, came = start_weights(), np.zeros(_GATES), Logits.of(counts, 1.0), np.zeros((2, _MAPS * _STEPS))
     for keys, number, whole in batches:
         bits = coded(keys, table_bits)
         x, gate = _inputs(bits, counts, 1.0, whole)
-        share = np.sqrt(number.astype(np.float64))[bits.segment]
-        error = (bits.bit - 1 / (1 + np.exp(-_mixed(x, gate, weights)))) * share
+        share = number.astype(np.float64)[bits.segment]
+        z = _mixed(x, gate, weights)
+        error = (bits.bit - 1 / (1 + np.exp(-z))) * share
         total = np.bincount(gate, share, _GATES)
+        place, part = _buckets(z, gate)
+        for bit in (0, 1):
+            own = np.where(bits.bit == bit, share, 0.0)
+            came[bit] += np.bincount(place, own * (1 - part), _MAPS * _STEPS) + np.bincount(place + 1, own * part, _MAPS * _STEPS)
+        size = np.bincount(gate, share * np.square(x).sum(axis=0), _GATES) / np.maximum(total, 1) + 1
         for k in range(len(x)):
-            weights[:, k] += rate * np.bincount(gate, error * x[k], _GATES) / np.maximum(total, 1)
+            weights[:, k] += rate * np.bincount(gate, error * x[k], _GATES) / np.maximum(total, 1) / size
         seen += total
-    return weights, seen
+    return weights, seen, came
 
 
-def log10_probability(keys: pa.Array, counts: np.ndarray | Logits, weights: np.ndarray, table_bits: int | list[int], whole: Prefixes | None = None) -> np.ndarray:
+def log10_probability(
+    keys: pa.Array, counts: np.ndarray | Logits, weights: np.ndarray, table_bits: int | list[int], whole: Prefixes | None = None, refine: np.ndarray | None = None
+) -> np.ndarray:
     bits = coded(keys, table_bits)
     x, gate = _inputs(bits, counts, 0.0, whole)
-    z = _mixed(x, gate, weights)
+    z = _refined(_mixed(x, gate, weights), gate, refine)
     wrong = np.where(bits.bit == 1, -z, z)  # within 30 of 0
     return -np.bincount(bits.segment, np.log1p(np.exp(wrong)), len(keys)) / np.log(10)
 
@@ -349,9 +473,9 @@ def _with_prefixes(batches: Iterator[pa.RecordBatch], learn: bool, left_out: flo
 _PENDING = 4_000_000
 
 
-def context_counts(tokens: DataFrame, least_bits: int) -> tuple[list[list[np.ndarray]], list[int]]:
+def context_counts(tokens: DataFrame, least_bits: int, most_bits: int = 32) -> tuple[list[list[np.ndarray]], list[int]]:
     """[bit][order][slot]: how often each bit was seen after the last 0 to 4 bytes, over all segments; and each order's
-    table_bits: slots are at least twice as many as the distinct bit contexts."""
+    table_bits: slots are at least twice as many as the distinct bit contexts, up to 2**most_bits."""
     orders = len(ORDERS) - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +517,7 @@ def context_counts(tokens: DataFrame, least_bits: int) -> tuple[list[list[np.nda
     pairs = tokens.select("key", "n").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     nodes = common.materialize(pairs.repartition(F.expr("pair >> 9")).mapInArrow(expand, "order int, nodes long, node binary, zero binary, one binary"), "contexts")
     distinct = {r["order"]: r["n"] for r in nodes.groupBy("order").agg(F.sum("nodes").alias("n")).collect()}
-    bits = [min(32, max(least_bits, (2 * distinct.get(k, 0)).bit_length())) for k in range(orders)]
+    bits = [min(most_bits, max(least_bits, (2 * distinct.get(k, 0)).bit_length())) for k in range(orders)]
     tables: list[list[np.ndarray]] = [[], []]
     for k in range(orders):
         sums = np.zeros((2, 1 << bits[k]))
@@ -403,13 +527,111 @@ def context_counts(tokens: DataFrame, least_bits: int) -> tuple[list[list[np.nda
                 np.add.at(x, slot, np.frombuffer(row[c]))
         for table, x in zip(tables, sums, strict=True):
             table.append(x.astype(np.float32))
+    common.discard(nodes)
     return tables, [*bits, 32]
 
 
+#: Counts of spans are told apart up to this.
+_STATES = 20
+
+
+def _span_rows(known: np.ndarray, facts: np.ndarray, context_words: int, span_bits: int, base_unit: float, end_n: int):
+    """Of each span of the texts: its sums over common segments (known: their sorted hashes; facts: n and log10_p), and its
+    other segments as lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, (often_n, often_p) = known.value, facts.value
+        single = _found(hashes, np.array([_SINGLE_HASH]))[0]
+        for batch in common.slices(batches, most=common.SLICE_BYTES // 2):
+            p = Parsed(batch.column("text"), context_words, span_bits)
+            spans, ending = len(p.text), p.end == p.start
+            at = _found(hashes, p.hash)
+            found = at >= 0
+            total = lambda some, weight=None, of=p.span, spans=spans: np.bincount(of[some], weight, spans)
+            word = found & p.token & ~ending
+            n_known = total(word, often_n[at[word]] > 0) + total(ending) * (end_n > 0)
+            base = total(word, np.log10(often_n[at[word]] + 0.1) - base_unit) + total(ending) * (np.log10(end_n + 0.1) - base_unit)
+            value = total(found, often_p[at[found]]).astype(np.float64)
+            # the other segments, once for each span
+            span, hashed, number = p.span[~found], p.hash[~found], np.ones((~found).sum(), np.int64)
+            if single >= 0:
+                value += p.singles * often_p[single]
+            else:
+                some = np.flatnonzero(p.singles)
+                span, hashed, number = np.append(span, some), np.append(hashed, np.full(len(some), _SINGLE_HASH)), np.append(number, p.singles[some])
+            order = np.lexsort((hashed, span))
+            span, hashed, number = span[order], hashed[order], number[order]
+            first = np.flatnonzero(np.append(True, (span[1:] != span[:-1]) | (hashed[1:] != hashed[:-1]))[: len(span)])
+            number = np.add.reduceat(number, first) if len(first) else number
+            bounds = pa.array(np.searchsorted(span[first], np.arange(spans + 1)).astype(np.int32))
+            size = np.zeros(spans, np.int64)
+            size[p.head] = p.size
+            # what does not depend on spans stands at the first one
+            n_known, base = (np.bincount(p.head[p.text], x, spans) for x in (n_known, base))
+            text, rest = pa.array(p.text), pa.ListArray.from_arrays(bounds, pa.array(hashed[first].view(np.int64)))
+            place = pa.array((np.arange(spans) - p.head[p.text]).astype(np.int32))
+            columns = [
+                batch.column("row").take(text), place, batch.column("id").take(text), batch.column("learn").take(text), pa.array(p.context.view(np.int64), mask=p.context == 0), pa.array(p.whole.view(np.int64)),
+                pa.array(total(p.token)), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(value), pa.array(size), rest, pa.ListArray.from_arrays(bounds, pa.array(number)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, _SPAN_COLUMNS)
+
+    return run
+
+
+_SPAN_COLUMNS = ["row", "place", "id", "learn", "context", "span", "n_tokens", "n_known", "base", "value", "size", "rest", "rest_n"]
+
+
+def _found(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The places of wanted hashes among sorted ones, or -1."""
+    if not len(hashes):
+        return np.full(len(wanted), -1)
+    distinct, inverse = np.unique(wanted, return_inverse=True)
+    at = np.minimum(np.searchsorted(hashes, distinct), len(hashes) - 1)
+    return np.where(hashes[at] == distinct, at, -1)[inverse]
+
+
+def matched(spans: DataFrame, common_parts: int) -> DataFrame:
+    """Of the spans (row, place, learn, context, span) whose context was seen: hit (is it the one that most often follows),
+    and the two counts `most` and `other` of that and the next span, up to _STATES. The own occurrence of a span learnt
+    from is left out."""
+    pairs = common.materialize(spans.groupBy("context", "span").agg(F.count(F.when(F.col("learn"), 1)).alias("n"), F.count("*").alias("spans")), "pairs")
+    total = pairs.agg(F.sum("n")).first()[0] or 0
+    ranked = pairs.withColumn("k", F.row_number().over(Window.partitionBy("context").orderBy(F.desc("n"), "span"))).where("k <= 2")
+    # a context that a single span follows, its own, tells nothing
+    best = ranked.groupBy("context").agg(
+        F.sum("spans").alias("spans"),
+        F.max(F.when(F.col("k") == 1, F.col("span"))).alias("span_1"), F.max(F.when(F.col("k") == 1, F.col("n"))).alias("n_1"),
+        F.max(F.when(F.col("k") == 2, F.col("span"))).alias("span_2"), F.coalesce(F.max(F.when(F.col("k") == 2, F.col("n"))), F.lit(0)).alias("n_2"),
+    )
+    best = common.materialize(best.where("spans > 1 and n_1 > 0").drop("spans"), "contexts")
+    common.discard(pairs)
+    often = F.col("n_1") * common_parts >= total  # of common_parts contexts at most
+    names = ("span_1", "n_1", "span_2", "n_2")
+    sent = best.where(often).select("context", *(F.col(c).alias(f"_{c}") for c in names))
+    # a row that the broadcast has answered needs no partner: it gets a key that none has
+    joined = spans.join(F.broadcast(sent), "context", "left")
+    key = F.when(F.col("_n_1").isNull(), F.col("context"))
+    joined = joined.withColumn("_key", F.coalesce(key, F.xxhash64("row", "span"))).withColumn("_open", key.isNotNull())
+    rare = best.where(~often).withColumnRenamed("context", "_key")
+    joined = joined.join(rare, "_key", "left")
+    one, n_one, two, n_two = (F.coalesce(F.col(f"_{c}"), F.when(F.col("_open"), F.col(c))) for c in names)
+    own = F.coalesce(F.col("learn"), F.lit(False))
+    joined = joined.withColumns({"_a": one, "_b": two, "_m": n_one - (own & (F.col("span") == one)).cast("int"), "_o": n_two - F.coalesce(own & (F.col("span") == two), F.lit(False)).cast("int")})
+    most, other = F.greatest("_m", "_o"), F.least("_m", "_o")
+    hit = F.when(most > 0, F.col("span") == F.when(F.col("_o") > F.col("_m"), F.col("_b")).otherwise(F.col("_a")))
+    joined = joined.withColumns({"hit": hit, "most": F.least(most, F.lit(_STATES)).cast("int"), "other": F.least(other, F.lit(_STATES)).cast("int")})
+    flags = common.materialize(joined.where("hit is not null").select("row", "place", "learn", "hit", "most", "other"), "flags")
+    common.discard(best)
+    return flags
+
+
 def score(
-    df: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", table_bits: int = 20, common_parts: int = 50_000
-) -> DataFrame:
-    """id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every document; learn_from marks those to learn from."""
+    df: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", table_bits: int = 20, most_bits: int = 22,
+    common_parts: int = 2_000_000, context_words: int = 6, span_bits: int = 5,
+) -> DataFrame:
+    """id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, n_repeated (tokens in spans coded by one bit) of
+    every document; learn_from marks those to learn from."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(learn_from, F.lit(False)).alias("learn"))
     counted = docs.select("text", "learn").mapInArrow(_count, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -420,87 +642,87 @@ def score(
         F.coalesce(F.max(F.when(end & (F.col("n") > 0), 1)), F.lit(0)).alias("ends"), F.sum("n").alias("all"), F.sum(F.when(end, F.col("n")).otherwise(0)).alias("end_n"),
     ).first()
     total, distinct, all_segments, end_n = facts["total"] or 0, facts["words"] + facts["ends"], facts["all"] or 0, facts["end_n"] or 0
-    base_unit = np.log10(total + 0.1 * (distinct + 1))
+    base_unit = float(np.log10(total + 0.1 * (distinct + 1)))
 
-    counts, order_bits = context_counts(tokens, table_bits)
+    counts, order_bits = context_counts(tokens, table_bits, most_bits)
     left_out = spark.sparkContext.broadcast(Logits.of(counts, 1.0))
-    logits = spark.sparkContext.broadcast(Logits.of(counts, 0.0))
-    del counts
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, seen = learn_weights(((b.column("key"), b.column("n").to_numpy(), whole) for b, whole in _with_prefixes(batches, True, 1.0)), left_out.value, order_bits)
-        if seen.any():
-            yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary()), pa.array([weights.tobytes()], pa.binary())], ["seen", "weights"])
+        got = learn_weights(((b.column("key"), b.column("n").to_numpy(), whole) for b, whole in _with_prefixes(batches, True, 1.0)), left_out.value, order_bits)
+        if got[1].any():
+            yield _packed(*got)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total_seen, mean, some = np.zeros(_GATES), np.zeros((_GATES, len(ORDERS) + 1)), False
+        mean, seen, came, some = np.zeros((_GATES, len(ORDERS) + 1)), np.zeros(_GATES), np.zeros((2, _MAPS * _STEPS)), False
         for batch in batches:
-            for seen, weights in zip(batch.column("seen").to_pylist(), batch.column("weights").to_pylist(), strict=True):
-                some, seen = True, np.frombuffer(seen)
-                total_seen += seen
-                mean += seen[:, None] * np.frombuffer(weights).reshape(mean.shape)
+            for row in batch.to_pylist():
+                weights, own, own_came = _unpacked(row)
+                mean, seen, came, some = mean + own[:, None] * weights, seen + own, came + own_came, True
         if some:
-            yield pa.RecordBatch.from_arrays([pa.array([total_seen.tobytes()], pa.binary()), pa.array([(mean / np.maximum(total_seen, 1e-9)[:, None]).tobytes()], pa.binary())], ["seen", "weights"])
+            yield _packed(mean / np.maximum(seen, 1e-9)[:, None], seen, came)
 
-    schema = "seen binary, weights binary"
+    schema = "weights binary, seen binary, came binary"
     got = _dealt(tokens).mapInArrow(fit, schema).repartition(1).mapInArrow(merge, schema).toArrow().to_pylist()
-    weights = start_weights()
+    left_out.destroy()
+    logits = spark.sparkContext.broadcast(Logits.of(counts, 0.0))
+    del counts
+    weights, refine = start_weights(), None
     if got:
-        seen = np.frombuffer(got[0]["seen"]) > 0
-        weights[seen] = np.frombuffer(got[0]["weights"]).reshape(weights.shape)[seen]
+        learnt, seen, came = _unpacked(got[0])
+        weights[seen > 0], refine = learnt[seen > 0], map_logits(came)
 
     def run_model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, whole in _with_prefixes(batches, False, 0.0):
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("n"), pa.array(log10_probability(b.column("key"), logits.value, weights, order_bits, whole))], ["key", "n", "log10_p"])
+            p = log10_probability(b.column("key"), logits.value, weights, order_bits, whole, refine)
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(key_hashes(b.column("key")).view(np.int64)), b.column("n"), pa.array(p)], ["key", "hash", "n", "log10_p"])
 
-    rated = common.materialize(_dealt(tokens).mapInArrow(run_model, "key binary, n long, log10_p double"), "rated")
+    rated = _dealt(tokens).mapInArrow(run_model, "key binary, hash long, n long, log10_p double").select("hash", "n", "log10_p", _is_word().alias("word"))
+    rated = common.materialize(rated, "rated")
+    logits.destroy()
+    common.discard(tokens)
     often = rated.where(F.col("n") >= max(1.0, all_segments / common_parts)).toArrow()  # so common_parts rows at most
-    lookup = spark.sparkContext.broadcast(dict(zip(often.column("key").to_pylist(), zip(often.column("n").to_pylist(), often.column("log10_p").to_pylist(), strict=True), strict=True)))
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each document with the sums over common segments, and its other segments; a first one without a key so that none lacks a row."""
-        known = lookup.value
-        for batch in common.slices(batches, most=common.SLICE_BYTES // 2):
-            heads, keys, numbers = [], [], []
-            for text in batch.column("text").to_pylist():
-                raw = (text or "").encode().lower()
-                n_tokens, n_known, base, value = 0, 0, 0.0, 0.0
-                rest, rest_n = [None], [0]
-                for key, n in segments(raw).items():
-                    word = len(key) == 1 or (key[:1] == _WORD and key[1] not in _WHITE)
-                    n_tokens += n * word
-                    if len(key) == 1:
-                        n_known += n * (end_n > 0)
-                        base += n * (np.log10(end_n + 0.1) - base_unit)
-                    if (found := known.get(key)) is None:
-                        rest.append(key)
-                        rest_n.append(n)
-                        continue
-                    value += n * found[1]
-                    if word and len(key) > 1:
-                        n_known += n * (found[0] > 0)
-                        base += n * (np.log10(found[0] + 0.1) - base_unit)
-                heads.append((n_tokens, n_known, float(base), value, len(raw)))
-                keys.append(rest)
-                numbers.append(rest_n)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("id"), *(pa.array([h[k] for h in heads], kind) for k, kind in enumerate(kinds)), pa.array(keys, pa.list_(pa.binary())), pa.array(numbers, pa.list_(pa.int64()))],
-                ["row", "id", "n_tokens", "n_known", "base", "value", "size", "keys", "numbers"],
-            )
-
-    id_type = df.schema[id_col].dataType
-    fields = [T.StructField("row", T.LongType()), T.StructField("id", id_type), *(T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known")), *(T.StructField(x, T.DoubleType()) for x in ("base", "value")), T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.BinaryType())), T.StructField("numbers", T.ArrayType(T.LongType()))]
-    made = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInArrow(texts, T.StructType(fields))
-    head = F.struct("id", "n_tokens", "n_known", "base", "value", "size")
-    rows = made.select("row", head.alias("head"), F.posexplode(F.arrays_zip("keys", "numbers")).alias("at", "x")).select("row", F.when(F.col("at") == 0, F.col("head")).alias("head"), F.col("x.keys").alias("key"), F.col("x.numbers").alias("tf"))
-    joined = rows.join(rated.withColumn("word", _is_word()), "key", "left")
-    base = F.when(F.col("word"), F.col("tf") * (F.log10(F.col("n") + 0.1) - F.lit(float(base_unit))))
-    sums = joined.groupBy("row").agg(
-        F.max("head.id").alias(id_col), F.max("head.n_tokens").alias("n_tokens"),
-        (F.max("head.n_known") + F.coalesce(F.sum(F.when(F.col("word") & (F.col("n") > 0), F.col("tf"))), F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.max("head.base") + F.coalesce(F.sum(base), F.lit(0.0))).alias("base_score"),
-        (F.max("head.value") + F.coalesce(F.sum(F.col("tf") * F.col("log10_p")), F.lit(0.0))).alias("score"), F.max("head.size").alias("_size"),
+    order = np.argsort(hashes := often.column("hash").to_numpy().astype(np.int64).view(_U64))
+    known = spark.sparkContext.broadcast(hashes[order])
+    known_facts = spark.sparkContext.broadcast((often.column("n").to_numpy()[order], often.column("log10_p").to_numpy()[order]))
+
+    id_type, lists = df.schema[id_col].dataType, T.ArrayType(T.LongType())
+    kinds = [T.LongType(), T.IntegerType(), id_type, T.BooleanType(), *[T.LongType()] * 4, *[T.DoubleType()] * 2, T.LongType(), lists, lists]
+    schema = T.StructType([T.StructField(name, kind) for name, kind in zip(_SPAN_COLUMNS, kinds, strict=True)])
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text", "learn")
+    spans = common.materialize(rows.mapInArrow(_span_rows(known, known_facts, context_words, span_bits, base_unit, end_n), schema), "spans")
+    known.destroy()
+    known_facts.destroy()
+    flags = matched(spans.where("context is not null").select("row", "place", "learn", "context", "span"), common_parts)
+
+    # The bit that says whether a span is the expected one: how often it came true for these counts.
+    states = flags.where("learn").groupBy("most", "other").agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("int")).alias("hits")).collect()
+    p = {(r["most"], r["other"]): (r["hits"] + 0.4) / (r["n"] + 0.8) for r in states}  # as many as there are states
+    table = F.array(*(F.lit(float(p.get((k // (_STATES + 1), k % (_STATES + 1)), 0.5))) for k in range((_STATES + 1) ** 2)))
+    true = F.element_at(table, F.col("most") * (_STATES + 1) + F.col("other") + 1)
+
+    rest = spans.select("row", "place", F.explode(F.arrays_zip("rest", "rest_n")).alias("x")).select("row", "place", F.col("x.rest").alias("hash"), F.col("x.rest_n").alias("tf"))
+    parts = [
+        spans.select("row", "place", "id", "n_tokens", "n_known", "base", "value", "size"),
+        rest.join(rated, "hash").select("row", "place", F.when(F.col("word"), F.col("tf")).alias("tf"), "n", (F.col("tf") * F.col("log10_p")).alias("value")),
+        flags.select("row", "place", "hit", F.log10(F.when(F.col("hit"), true).otherwise(1 - true)).alias("flag")),
+    ]
+    every = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True).repartition("row")
+    known = F.when(F.col("tf").isNotNull() & (F.col("n") > 0), F.col("tf"))
+    base = F.col("tf") * (F.log10(F.col("n") + 0.1) - F.lit(base_unit))
+    every = every.withColumns({"n_known": F.coalesce("n_known", known), "base": F.coalesce("base", base)})
+    total_of = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    by_span = every.groupBy("row", "place").agg(F.max("id").alias("id"), *(total_of(c) for c in ("n_tokens", "n_known", "base", "value", "size", "flag")), F.coalesce(F.max("hit"), F.lit(False)).alias("hit"))
+    sums = by_span.groupBy("row").agg(
+        F.max("id").alias(id_col), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.sum("base").alias("base_score"),
+        F.sum(F.col("flag") + F.when(F.col("hit"), 0.0).otherwise(F.col("value"))).alias("score"), F.sum(F.when(F.col("hit"), F.col("n_tokens")).otherwise(0)).alias("n_repeated"), F.sum("size").alias("_size"),
     )
     return sums.withColumn("bits_per_byte", F.when(F.col("_size") > 0, -F.col("score") * float(np.log2(10)) / F.col("_size"))).drop("row", "_size")
+
+
+def _packed(*arrays: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], ["weights", "seen", "came"])
+
+
+def _unpacked(row: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    shapes = ((_GATES, len(ORDERS) + 1), (_GATES,), (2, _MAPS * _STEPS))
+    return tuple(np.frombuffer(row[c]).reshape(shape) for c, shape in zip(("weights", "seen", "came"), shapes, strict=True))

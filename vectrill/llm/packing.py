@@ -120,7 +120,7 @@ class WordBpe:
         """Beyond CACHED, the half that was met in the fewest slices goes."""
         if len(self.hashes) > CACHED:
             keep = np.sort(np.argsort(self.met, kind="stable")[len(self.met) // 2 :])
-            self.ids = self.ids[_spans(self.at[keep], self.count[keep])]
+            self.ids = self.ids[common.spread(self.at[keep], self.count[keep])]
             self.hashes, self.count, self.met = self.hashes[keep], self.count[keep], self.met[keep] // 2
             self.at = np.cumsum(self.count) - self.count
 
@@ -184,16 +184,10 @@ class WordBpe:
         at, count = np.zeros((len(start), 2), np.int64), np.zeros((len(start), 2), np.int64)
         at[:, 0], count[:, 0] = self.at[first], self.count[first]
         at[marked, 1], count[marked, 1] = self.at[last], self.count[last]
-        ids = self.ids[_spans(at.ravel(), count.ravel())]
+        ids = self.ids[common.spread(at.ravel(), count.ravel())]
         return ids, np.concatenate([[0], np.cumsum(count.sum(axis=1))])[words.bounds]
 
 
-def _spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The indexes start, start + 1, ... of each span, one after the other."""
-    ends = np.cumsum(count)
-    return np.repeat(start - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
-
-
 def _folded(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes with Latin capitals made small, and which bytes belong to a Latin letter (A to Z, and U+00C0 to U+00FF but
     for the two signs among them)."""
