@@ -47,7 +47,7 @@ _U64 = np.uint64
 #: Bytes of context; the last is the whole segment so far.
 ORDERS = (0, 1, 2, 3, 4, None)
 _WORD, _SPACE = b"W", b"S"
-_HELD, _SENT = 1_500_000, 50_000
+_HELD, _SENT = 800_000, 50_000
 _BATCH = 500
 _GATES = 12 * 4 * 9
 _W, _S = 0x57, 0x53
@@ -442,7 +442,7 @@ def _dealt(tokens: DataFrame) -> DataFrame:
     return tokens.select("key", "n").repartition(group).sortWithinPartitions(F.xxhash64(group), group)
 
 
-def _with_prefixes(batches: Iterator[pa.RecordBatch], learn: bool, left_out: float, most: int = 20_000) -> Iterator[tuple[pa.RecordBatch, Prefixes]]:
+def _with_prefixes(batches: Iterator[pa.RecordBatch], learn: bool, left_out: float, most: int = 8_000) -> Iterator[tuple[pa.RecordBatch, Prefixes]]:
     """Small batches of dealt segments and the counts of their prefixes."""
 
     def wholes() -> Iterator[pa.RecordBatch]:
@@ -626,12 +626,11 @@ def matched(spans: DataFrame, common_parts: int) -> DataFrame:
     return flags
 
 
-def score(
-    df: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", table_bits: int = 20, most_bits: int = 22,
-    common_parts: int = 2_000_000, context_words: int = 6, span_bits: int = 5,
-) -> DataFrame:
-    """id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, n_repeated (tokens in spans coded by one bit) of
-    every document; learn_from marks those to learn from."""
+def _gathered(
+    df: DataFrame, learn_from: Column, id_col: str, text_col: str, table_bits: int, most_bits: int, common_parts: int, context_words: int, span_bits: int
+) -> tuple[DataFrame, DataFrame, DataFrame, int, float]:
+    """All spans of the texts, the distinct segments with their scores, the spans whose context was seen (see matched), how
+    many tokens were learnt from, and the logarithm of what the base divides by."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(learn_from, F.lit(False)).alias("learn"))
     counted = docs.select("text", "learn").mapInArrow(_count, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -693,6 +692,17 @@ def score(
     known.destroy()
     known_facts.destroy()
     flags = matched(spans.where("context is not null").select("row", "place", "learn", "context", "span"), common_parts)
+    return spans, rated, flags, total, base_unit
+
+
+def score(
+    df: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", table_bits: int = 20, most_bits: int = 22,
+    common_parts: int = 2_000_000, context_words: int = 6, span_bits: int = 5,
+) -> DataFrame:
+    """id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, n_repeated (tokens in spans coded by one bit) of
+    every document; learn_from marks those to learn from."""
+    with common.small_batches(df.sparkSession, 4000):
+        spans, rated, flags, total, base_unit = _gathered(df, learn_from, id_col, text_col, table_bits, most_bits, common_parts, context_words, span_bits)
 
     # The bit that says whether a span is the expected one: how often it came true for these counts.
     states = flags.where("learn").groupBy("most", "other").agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("int")).alias("hits")).collect()
