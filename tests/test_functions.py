@@ -85,3 +85,19 @@ def test_strict_filters(people):
     assert [r.id for r in people.where(compile_filter(both, people, strict=True)).collect()] == [1]
     with pytest.raises(ValueError):
         compile_filter({"n": {"$odd": 1}}, people, strict=True)
+
+
+def test_long_integers_are_exact(spark):
+    rows = spark.createDataFrame([(1 << 53,), ((1 << 53) + 1,), (3,), (None,)], "n long")
+    ids = lambda wanted: sorted(r.n for r in rows.where(compile_filter(wanted, rows)).collect())
+    assert ids({"n": (1 << 53) + 1}) == [(1 << 53) + 1] and ids({"n": {"$gt": 1 << 53}}) == [(1 << 53) + 1] and ids({"n": {"$in": [3.0, 3.5]}}) == [3]
+    assert ids({"n": {"$gt": 2.5, "$lt": 3.5}}) == [3] and ids({"n": {"$gte": 3.5}}) == [1 << 53, (1 << 53) + 1] and ids({"n": {"$lt": 1 << 70}}) == [3, 1 << 53, (1 << 53) + 1]
+    assert ids({"n": {"$ne": 1 << 70}}) == [3, 1 << 53, (1 << 53) + 1] and ids({"n": {"$gt": float("inf")}}) == [] and ids({"n": {"$lte": 2.5}}) == []
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    spark.range(10).selectExpr("id", "id * 1.5D AS x", "cast(id AS string) AS s", "timestamp_seconds(id) AS t").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    tests = {"GreaterThanOrEqual(id,2)": {"id": {"$gte": 2}}, "LessThan(x,9.0)": {"x": {"$lt": 9}}, "EqualTo(s,4)": {"s": "4"}, "GreaterThanOrEqual(t,": {"t": {"$gt": dt.datetime(1970, 1, 1)}}}
+    for pushed, wanted in tests.items():
+        assert pushed in rows.where(compile_filter(wanted, rows))._jdf.queryExecution().executedPlan().toString()

@@ -46,9 +46,9 @@ def upsert_latest(spark, sf_dir):
     return store.upsert(base, changes)
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def delete_anti(spark, sf_dir):
-    gone = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    gone = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return store.delete(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), gone, "c_custkey")
 
 
@@ -138,10 +138,16 @@ def payload_projection_join(spark, sf_dir):
     return _filtered(rows, {"quality": 1}, "doc_id", "lang", "quality", "toxic")
 
 
-@query("SELECT vec_id, true AS valid, len(embedding) = 64 AS fits, true AS id_ok FROM embeddings")
+@query("""WITH b AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN '' WHEN vec_id % 11 = 0 THEN 'é' || vec_id ELSE vec_id::VARCHAR END AS key,
+  CASE WHEN vec_id % 5 = 0 THEN list_append(embedding[1:63]::DOUBLE[], 'nan'::DOUBLE) WHEN vec_id % 3 = 0 THEN embedding[1:63]::DOUBLE[] ELSE embedding::DOUBLE[] END AS v FROM embeddings)
+SELECT vec_id, length(key) > 0 AND len(list_filter(v, lambda x: isnan(x))) = 0 AS valid, len(v) = 64 AS fits, length(key) BETWEEN 1 AND 1024 AND regexp_full_match(key, '[ -~]*') AS id_ok FROM b""")
 def validate_batch(spark, sf_dir):
-    v, key = F.col("embedding"), F.col("vec_id").cast("string")
-    return table(spark, sf_dir, "embeddings").select("vec_id", store.valid_vector(key, v).alias("valid"), store.valid_dimension(v, 64).alias("fits"), store.valid_id(key).alias("id_ok"))
+    """Rows among which some have no id, an id beyond ASCII, a NaN or too few elements."""
+    own, short = F.col("embedding").cast("array<double>"), F.slice("embedding", 1, 63).cast("array<double>")
+    key = F.when(F.col("vec_id") % 7 == 0, "").when(F.col("vec_id") % 11 == 0, F.concat(F.lit("é"), F.col("vec_id").cast("string"))).otherwise(F.col("vec_id").cast("string"))
+    v = F.when(F.col("vec_id") % 5 == 0, F.array_append(short, F.lit(float("nan")))).when(F.col("vec_id") % 3 == 0, short).otherwise(own)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", key.alias("key"), v.alias("v"))
+    return rows.select("vec_id", store.valid_vector(F.col("key"), F.col("v")).alias("valid"), store.valid_dimension(F.col("v"), 64).alias("fits"), store.valid_id(F.col("key")).alias("id_ok"))
 
 
 @query()
@@ -172,8 +178,7 @@ SELECT event_id, ts FROM b, t WHERE ts > now - INTERVAL 7 DAYS ORDER BY ts DESC,
 def backup_retention(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     now = events.agg(F.max("ts")).first()[0]
-    newest = events.where("event_type = 'signup'").select("event_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(10)
-    return store.retention(newest, now)
+    return store.retention(events.where("event_type = 'signup'").select("event_id", "ts"), now, ties=("event_id",))
 
 
 @query("""WITH t AS (SELECT max(ts) AS now FROM events), c AS (SELECT user_id, count(*) AS accesses, max(ts) AS last_access FROM events GROUP BY user_id)

@@ -52,10 +52,10 @@ def replay(log: DataFrame, id_col: str = "id", seq_col: str = "seq", op_col: str
     return last.where((F.col("_n") == 1) & (F.col(op_col) != "delete")).drop("_n")
 
 
-def retention(backups: DataFrame, now, keep: int = 10, days: int = 7, ts_col: str = "ts") -> DataFrame:
-    """The newest `keep` backups that are at most `days` old."""
-    ranked = backups.withColumn("_n", F.row_number().over(Window.orderBy(F.desc(ts_col))))
-    return ranked.where((F.col("_n") <= keep) & (F.col(ts_col) > F.lit(now) - F.expr(f"INTERVAL {days} DAYS"))).drop("_n")
+def retention(backups: DataFrame, now, keep: int = 10, days: int = 7, ts_col: str = "ts", ties: tuple[str, ...] = ()) -> DataFrame:
+    """The newest `keep` backups that are at most `days` old; among equally old ones those that come last by `ties`."""
+    recent = backups.where(F.col(ts_col) > F.lit(now) - F.expr(f"INTERVAL {days} DAYS"))
+    return recent.orderBy(F.desc(ts_col), *(F.desc(c) for c in ties)).limit(keep)
 
 
 # --- validation -----------------------------------------------------------------------------
