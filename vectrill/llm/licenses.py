@@ -9,8 +9,7 @@
    word by word: phrases must stand there whole, a longer template with at least `min_cover` of its words in order.
 
 Defined cases: words are runs of digits, a to z (A-Z lower-cased) and characters beyond ASCII; null counts as empty,
-and texts without a word have no hits. Rows that share an id are one document: hits are pooled, n_words is the largest.
-Columns but the id and the text are ignored. Overlapping hits of different templates are all reported.
+and texts without a word have no hits. Each row is a document of its own, also if others have its id. Columns but the id and the text are ignored. Overlapping hits of different templates are all reported.
 """
 
 from __future__ import annotations
@@ -99,25 +98,25 @@ def _rolling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out[place[long_at] + n[text[long_at]]] = long.view(np.int64)
         lower = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(words.offsets.astype(np.int64)), pa.py_buffer(words.data)]).cast(pa.binary())
         starts = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array((words.start - words.offsets[:-1][text]).astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), lower, starts, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(out))], ["id", "data", "starts", "grams"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), lower, starts, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(out))], ["row", "id", "data", "starts", "grams"])
 
 
 def votes(df: DataFrame, id_col: str, text_col: str, templates: tuple[Template, ...]) -> DataFrame:
-    """(id, template, diagonal, votes, n_words, from_word, window): one row for each diagonal with a hit; template -1 for each id."""
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("data", T.BinaryType()), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("grams", T.ArrayType(T.LongType()))])
+    """(row, id, template, diagonal, votes, n_words, from_word, window): one row for each diagonal with a hit; template -1 for each id."""
+    docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", df.schema[id_col].dataType), T.StructField("data", T.BinaryType()), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("grams", T.ArrayType(T.LongType()))])
     lengths = [len(words_of(t.text.lower().encode())) for t in templates]
     rows = [(g, t, p, lengths[t] if t >= 0 else 0) for g, t, p in template_positions(templates)]
     known = df.sparkSession.createDataFrame(rows, "gram long, template int, place int, length int")
-    hits = docs.mapInArrow(_rolling, schema).select("id", "data", "starts", F.posexplode("grams").alias("at", "gram")).join(F.broadcast(known), "gram")  # as many rows as the templates have k-grams
+    hits = docs.mapInArrow(_rolling, schema).select("row", "id", "data", "starts", F.posexplode("grams").alias("at", "gram")).join(F.broadcast(known), "gram")  # as many rows as the templates have k-grams
     n = F.size("starts")
     word = F.when(F.col("at") > n, F.col("at") - n - 1).otherwise(F.col("at") - 1)
-    hits = hits.select("id", "data", "starts", "template", "length", n.alias("n_words"), F.when(F.col("template") < 0, 0).otherwise(word - F.col("place")).alias("diagonal"))
+    hits = hits.select("row", "id", "data", "starts", "template", "length", n.alias("n_words"), F.when(F.col("template") < 0, 0).otherwise(word - F.col("place")).alias("diagonal"))
     first, last = F.greatest(F.lit(0), F.col("diagonal") - _PAD), F.least(n, F.col("diagonal") + F.col("length") + _PAD)
     begin = F.get("starts", first)
     window = F.when(F.col("template") < 0, F.lit(b"")).otherwise(F.expr("substring(data, begin + 1, coalesce(get(starts, last), octet_length(data)) - begin)"))
-    hits = hits.withColumns({"first": first, "last": last}).withColumn("begin", begin).select("id", "template", "diagonal", "n_words", F.col("first").alias("from_word"), window.alias("window"))
-    return hits.groupBy("id", "template", "diagonal").agg(F.count("*").alias("votes"), F.max("n_words").alias("n_words"), F.first("from_word").alias("from_word"), F.first("window").alias("window"))
+    hits = hits.withColumns({"first": first, "last": last}).withColumn("begin", begin).select("row", "id", "template", "diagonal", "n_words", F.col("first").alias("from_word"), window.alias("window"))
+    return hits.groupBy("row", "template", "diagonal").agg(F.first("id").alias("id"), F.count("*").alias("votes"), F.max("n_words").alias("n_words"), F.first("from_word").alias("from_word"), F.first("window").alias("window"))
 
 
 def _matched(window: list[bytes], template: list[bytes]) -> tuple[int, int, int]:
@@ -179,21 +178,21 @@ def scan(
     span = pa.list_(pa.struct([("label", pa.string()), ("phrase", pa.bool_()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("cover", pa.float64())]))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, got, held, key = [], [], [], None
+        ids, got, held, key, own = [], [], [], None, None
 
         def done() -> None:
             if held:
-                ids.append(key)
+                ids.append(own)
                 got.append(document(held))
 
         kind = None
         for batch in batches:
             kind = batch.schema.field("id").type
-            for row in zip(*(batch.column(c).to_pylist() for c in ("id", "template", "diagonal", "votes", "n_words", "from_word", "window")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("row", "id", "template", "diagonal", "votes", "n_words", "from_word", "window")), strict=True):
                 if row[0] != key:
                     done()
-                    key, held = row[0], []
-                held.append(row[1:])
+                    key, own, held = row[0], row[1], []
+                held.append(row[2:])
             if len(ids) >= 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], span)], ["id", "n_words", "spans"])
                 ids, got = [], []
@@ -205,7 +204,7 @@ def scan(
         T.StructField("id", df.schema[id_col].dataType), T.StructField("n_words", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("phrase", T.BooleanType()), T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType()), T.StructField("cover", T.DoubleType())]))),
     ])
-    counted = votes(df, id_col, text_col, templates).repartition("id").sortWithinPartitions("id", "template", "diagonal")
+    counted = votes(df, id_col, text_col, templates).repartition("row").sortWithinPartitions("row", "template", "diagonal")
     return counted.mapInArrow(verify, schema).withColumnRenamed("id", id_col)
 
 
