@@ -96,6 +96,21 @@ def test_one_of_each(docs):
     assert len(ids) == len(set(ids)) and {104, 105, 106}.isdisjoint(ids) and {3, 7, 100, 101} <= set(ids) and kept.columns == docs.columns
 
 
+def test_ids_of_any_kind(spark):
+    """Null ids, one id with two unlike texts, and text ids: links go by row."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows_ = [("1", a), ("1", b), ("2", a), ("3", b + " end"), (None, c), (None, None), ("4", ""), ("1", a)]
+    df = spark.createDataFrame(rows_, "doc_id string, text string")
+    got = sorted((r.doc_id or "-", r.class_id or "-", r.rep_id or "-", r.n_links) for r in ngram_join.near_duplicates(df).collect())
+    assert got == [("-", "-", "-", 0), ("-", "-", "-", 0), ("1", "1", "1", 1), ("1", "1", "1", 2), ("1", "1", "1", 2), ("2", "1", "1", 2), ("3", "1", "3", 1), ("4", "4", "4", 0)]
+    kept = sorted((r.doc_id or "-", r.text or "") for r in ngram_join.one_of_each(df).collect())
+    assert kept == sorted([("-", ""), ("-", c), ("1", a), ("1", b), ("4", "")])
+    numbers = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b)], "doc_id long, text string")
+    spans = licenses.scan(spark.createDataFrame([(1, "mit license"), (1, "mit license"), (None, "apache license"), (1, "x")], "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.n_base) for r in licenses.digest(spans).collect()) == [(0, 1), (1, 0), (1, 1), (1, 1)]
+    assert sorted(r.text for r in ngram_join.one_of_each(numbers).collect()) == [a, b]
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (5, 5), (3, 1), (20, 21), (21, 22), (22, 23), (23, 24), (24, 25)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -231,22 +231,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(node, root) of an undirected graph of edges (a, b): root is the component's smallest node.
 
-    Alternates large-star and small-star steps. Each is a pre-aggregated minimum and a join, so that a hub's
-    edges are never gathered in one place; the edges shrink to stars in logarithmically many rounds. Loops and
-    repeated edges are allowed; nodes without an edge to another node do not appear.
+    Alternates large-star and small-star steps. Each is a pre-aggregated minimum and a join to these minima, which are
+    written first: so a hub's edges meet in a plain join that adaptive execution can split. The edges shrink to stars in
+    logarithmically many rounds. Loops and repeated edges are allowed; nodes without an edge to another do not appear.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag)
     seen = None
     while True:
         old = now
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), tag)
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).where("u <> v").distinct()
         now = materialize(small, tag)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         discard(old)
+        discard(low)
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = state

@@ -15,8 +15,8 @@ Plan.
 
 Defined cases: words are what ASCII white space separates, A-Z lower-cased. A text of fewer than `n` words but at
 least one has one n-gram, all its words; null, empty and blank texts have none, are linked to nothing and form
-classes of their own. Ids must not be null; rows that repeat an id are copies, and each is returned. Extra columns are
-ignored.
+classes of their own. Inside, a row is known by a 64-bit hash of its id and text, so ids may be null, of any type that has
+an order, and shared by unlike texts; rows that repeat both are copies, and each is returned. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectrill.llm import _common as common
 
 _U64 = np.uint64
+#: Of the filter for texts to verify; at most so many numbers are broadcast.
+_SLOTS = 1 << 21
 
 
 def forest_depth(trees: int, threshold: float, target_recall: float, max_depth: int) -> int:
@@ -89,7 +92,7 @@ def _signatures(n: int, trees: int, depth: int, seed: int):
                     digest[full] = common.mix(np.add.reduceat(common.mix(sets), starts) + size[full].astype(_U64))
                 labels = tree_labels(sets, np.append(starts, len(sets)), trees, depth, seed)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(size > 0, trees, 0))]).astype(np.int32)), pa.array(labels.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digest.view(np.int64)), pa.array(size), lists], ["id", "digest", "size", "labels"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(digest.view(np.int64)), pa.array(size), lists], ["id", "key", "digest", "size", "labels"])
 
     return run
 
@@ -160,13 +163,13 @@ def _verify_group(ids: np.ndarray, blocks: np.ndarray, weights: np.ndarray, sets
 
 
 def _verifier(n: int, threshold: float):
-    names = ["id", "n_links", "joined"]
+    names = ["key", "n_links", "joined"]
 
     def groups(batches: Iterator[pa.RecordBatch]):
         key, held = None, []
         for batch in common.slices(batches):
             sets, offsets = shingle_sets(batch.column("text"), n)
-            columns = [batch.column(c).to_pylist() for c in ("comp", "i", "j", "id", "block", "copies")]
+            columns = [batch.column(c).to_pylist() for c in ("comp", "i", "j", "key", "block", "copies")]
             for row, (comp, i, j, *rest) in enumerate(zip(*columns, strict=True)):
                 if (comp, i, j) != key:
                     if held:
@@ -196,54 +199,78 @@ def _verifier(n: int, threshold: float):
 # --- the join -------------------------------------------------------------------------------
 
 
-def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8,
-    trees: int = 24, max_depth: int = 10, target_recall: float = 0.999, block: int = 512, seed: int = 7,
-) -> DataFrame:
-    """One row for each input row: id, rep_id (the smallest id with the same set), class_id (the smallest id among all
-    that links connect), n_links (how many other rows have at least the threshold's similarity, copies included)."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("key"))
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str, n: int, threshold: float, trees: int, max_depth: int, target_recall: float, block: int, seed: int) -> DataFrame:
+    """(id, key, rep_id, root, n_links) of each row; root is the same for all rows that links connect."""
+    docs = _keyed(df, id_col, text_col)
     depth = forest_depth(trees, threshold, target_recall, max_depth)
-    rows = common.materialize(docs.mapInArrow(_signatures(n, trees, depth, seed), "id long, digest long, size long, labels array<long>"), "signatures")
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in ("key", "digest", "size")), T.StructField("labels", T.ArrayType(T.LongType()))])
+    rows = common.materialize(docs.mapInArrow(_signatures(n, trees, depth, seed), schema), "signatures")
 
     # Representatives of equal sets. The digest of a set is 64 bits of all its hashes; its size makes a chance match rarer still.
-    sets = common.materialize(rows.where("size > 0").groupBy("digest", "size").agg(F.min("id").alias("rep_id"), F.count("*").alias("copies")), "sets")
+    sets = rows.where("size > 0").groupBy("digest", "size").agg(F.min("key").alias("rep"), F.min("id").alias("rep_id"), F.count("*").alias("copies"))
+    sets = common.materialize(sets, "sets")
 
     # Trie nodes of the forest at the depth found, and a link from each member to the node's smallest.
-    paths = rows.where("size > 0").join(sets, ["digest", "size"]).where("id = rep_id").select("id", F.explode("labels").alias("node"))
-    nodes = common.materialize(paths.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "nodes")
-    comps = common.materialize(common.components(paths.join(nodes, "node").select(F.col("id").alias("a"), F.col("first").alias("b"))), "candidates")
+    paths = rows.where("size > 0").join(sets, ["digest", "size"]).where("key = rep").select("key", F.explode("labels").alias("node"))
+    nodes = paths.groupBy("node").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").drop("last")
+    nodes = common.materialize(nodes, "nodes")
+    comps = common.materialize(common.components(paths.join(nodes, "node").select(F.col("key").alias("a"), F.col("first").alias("b"))), "candidates")
 
     # Blocks of each component, and the pairs of blocks that each member takes part in.
     blocks = comps.groupBy(F.col("root").alias("comp")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     members = (
-        comps.withColumnRenamed("root", "comp").join(blocks, "comp").withColumnRenamed("node", "id")
-        .join(sets.select(F.col("rep_id").alias("id"), "copies"), "id")
-        .withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+        comps.withColumnRenamed("root", "comp").join(blocks, "comp").withColumnRenamed("node", "key")
+        .join(sets.select(F.col("rep").alias("key"), "copies"), "key")
+        .withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     )
     members = common.materialize(members, "members")
+    # Before texts are shuffled, most that are no member go by a filter of fixed size: it lets all members pass.
+    slot = F.expr(f"key & {_SLOTS - 1}").alias("slot")
+    slots = common.materialize(members.select(slot).distinct(), "slots")
+    near = docs.select("*", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
     dealt = (
-        docs.join(members, "id").dropDuplicates(["id"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "block", "copies", "text")
+        near.join(members, "key").dropDuplicates(["key"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "block", "copies", "text")
     )
     dealt = dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    verified = common.materialize(dealt.mapInArrow(_verifier(n, threshold), "id long, n_links long, joined long"), "verified")
+    verified = common.materialize(dealt.mapInArrow(_verifier(n, threshold), "key long, n_links long, joined long"), "verified")
 
-    counted = verified.groupBy("id").agg(F.sum("n_links").alias("n_links"))
-    classes = common.materialize(common.components(verified.select(F.col("id").alias("a"), F.col("joined").alias("b")), "classes"), "classes")
-    facts = (
-        sets.join(counted.withColumnRenamed("id", "rep_id"), "rep_id", "left").join(classes.withColumnRenamed("node", "rep_id"), "rep_id", "left")
-        .select("digest", "size", "rep_id", F.coalesce("root", "rep_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
-    )
-    return rows.join(facts, ["digest", "size"], "left").select(
+    counted = verified.groupBy(F.col("key").alias("rep")).agg(F.sum("n_links").alias("n_links"))
+    roots = common.materialize(common.components(verified.select(F.col("key").alias("a"), F.col("joined").alias("b")), "roots"), "roots")
+    facts = sets.join(counted, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    facts = facts.select("digest", "size", "rep_id", F.coalesce("root", "rep").alias("root"), (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    return rows.drop("labels").join(facts, ["digest", "size"], "left").select("id", "key", "rep_id", "root", "n_links")
+
+
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8,
+    trees: int = 24, max_depth: int = 10, target_recall: float = 0.999, block: int = 512, seed: int = 7,
+) -> DataFrame:
+    """One row for each input row: id, rep_id (the smallest id with the same set), class_id (the smallest id among all
+    that links connect), n_links (how many other rows have at least the threshold's similarity, copies included)."""
+    found = common.materialize(_classes(df, id_col, text_col, n, threshold, trees, max_depth, target_recall, block, seed), "found")
+    names = common.materialize(found.where("root is not null").groupBy("root").agg(F.min("rep_id").alias("class_id")), "names")
+    return found.join(names, "root", "left").select(
         F.col("id").alias(id_col), F.coalesce("rep_id", "id").alias("rep_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of df without those that repeat another: of each class of linked documents the smallest id stays, once."""
-    found = near_duplicates(df, id_col, text_col, **options)
-    keep = common.materialize(found.where(F.col(id_col) == F.col("class_id")).groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_n")), "kept")
-    kept = df.join(keep, F.col(id_col).cast("long") == F.col("_kept")).drop("_kept")
+def one_of_each(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8,
+    trees: int = 24, max_depth: int = 10, target_recall: float = 0.999, block: int = 512, seed: int = 7,
+) -> DataFrame:
+    """The rows of df without those that repeat another: of each class of linked documents the row with the smallest id stays
+    (null counts as the largest), and of rows that repeat an id and its text one."""
+    found = _classes(df, id_col, text_col, n, threshold, trees, max_depth, target_recall, block, seed)
+    rows = found.groupBy("key").agg(F.first("id").alias("id"), F.first("root").alias("root"), F.count("*").alias("_n"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "key", "_n")).alias("x")
+    keep = rows.groupBy(F.coalesce("root", "key")).agg(first).select(F.col("x.key").alias("_key"), "x._n")
+    keep = common.materialize(keep, "kept")
+    kept = df.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))).join(keep, "_key")
     repeated = keep.where("_n > 1").limit(1).count()
-    return (kept.dropDuplicates([id_col]) if repeated else kept).drop("_n")
+    return (kept.dropDuplicates(["_key"]) if repeated else kept).drop("_key", "_n")
