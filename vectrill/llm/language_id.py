@@ -112,7 +112,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", top: in
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     counts = rows.mapInArrow(_count_batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    best = counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < top).toArrow().to_pandas()
+    best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).withColumn("rank", F.col("rank") - 1).toArrow().to_pandas()
     size = best.groupby("lang").n.sum()
     languages = sorted(size.index, key=lambda x: (-size[x], x))
     if len(languages) > max_languages:
