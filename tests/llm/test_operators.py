@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -117,6 +118,46 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8} | dict.fromkeys(range(20, 26), 20)
 
 
+def test_trie_links(spark):
+    """For each prefix length the links connect just the keys that share a prefix, also across tasks."""
+    rng = random.Random(3)
+    labels = {k: [bytes([t, *(x for _ in range(4) for x in (0, rng.randrange(3)))]) for t in range(2)] for k in range(300)}
+    df = spark.createDataFrame([(k, x) for k, v in labels.items() for x in v], "key long, label binary").repartition(5)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        links = ngram_join.trie_links(df, 2, 4).collect()
+    finally:
+        spark.conf.unset(name)
+    for depth in (2, 3, 4):
+        nodes = {}
+        for k, v in labels.items():
+            for x in v:
+                nodes.setdefault(x[: 1 + 2 * depth], []).append(k)
+        want = [(x[0], y) for x in nodes.values() for y in x]
+        got = [(r.a, r.b) for r in links if r.depth >= depth]
+        assert all(any(labels[a][t][: 1 + 2 * depth] == labels[b][t][: 1 + 2 * depth] for t in range(2)) for a, b in got)
+        assert (ngram_join.forest(300, np.array(got)) == ngram_join.forest(300, np.array(want))).all()
+
+
+@pytest.mark.parametrize(("changes", "levels"), [(1, 1), (2, 2)])
+def test_prefixes_shorten_as_far_as_needed(spark, monkeypatch, changes, levels):
+    """Pairs of similarity 0.90 need whole labels only; pairs of 0.81 need shorter prefixes. Recall is measured by brute force."""
+    rng, texts, calls = random.Random(11), {}, []
+    for i in range(150):
+        words = [f"v{rng.randrange(5000)}" for _ in range(100)]
+        texts[2 * i] = " ".join(words)
+        for at in (30, 60)[:changes]:
+            words[at] = f"new{i}"
+        texts[2 * i + 1] = " ".join(words)
+    inner = ngram_join._verify
+    monkeypatch.setattr(ngram_join, "_verify", lambda *a: calls.append(1) or inner(*a))
+    got = ngram_join.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    pairs = brute_links(texts)
+    assert len(pairs) >= 300 and sum(r.n_links for r in got) >= 0.99 * len(pairs) and len(calls) == levels
+    assert all(r.class_id == r.doc_id // 2 * 2 for r in got if r.n_links)
+
+
 def test_forest_depth():
     depth = ngram_join.forest_depth(24, 0.8, 0.999, 10)
     assert 1 - (1 - 0.8**depth) ** 24 >= 0.999 > 1 - (1 - 0.8 ** (depth + 1)) ** 24
