@@ -325,6 +325,21 @@ def test_license_scan(docs, nothing):
     assert licenses.scan(nothing).count() == 0
 
 
+def test_whole_licenses(spark):
+    """Each whole text, with a name put in, is found once under its own label and under no kindred one."""
+    put_in = {k: t.replace("the copyright holder nor", "the very long name of some holder nor").replace("Software is furnished", "Software is thus here furnished") for k, t in licenses.TEXTS.items()}
+    rows_ = [(k, f"some words before {t} and some after") for k, t in put_in.items()] + [("none", "permission is hereby granted to nobody " * 50)]
+    got = {r.doc_id: r.spans for r in licenses.scan(spark.createDataFrame(rows_, "doc_id string, text string")).collect()}
+    for k in licenses.TEXTS:
+        full = [s for s in got[k] if s.label in licenses.TEXTS]
+        want = {k, "bsd-3-clause-name"} if k == "bsd-3-clause-full" else {k}
+        assert {s.label for s in full} == want and len(full) == len(want), (k, full)
+        span = next(s for s in full if s.label == k)
+        n = len(licenses.words_of(put_in[k].lower().encode()))
+        assert (span.first_word, span.last_word) == (3, 2 + n) and span.cover > 0.9
+    assert got["none"] == []
+
+
 def test_license_spans(spark):
     notice = "intro Permission is hereby granted, free of charge, to any person obtaining a NEW copy of this software and associated documentation files end"
     text = spark.createDataFrame([(1, notice), (2, "permission is hereby granted to nobody")], "doc_id long, text string")

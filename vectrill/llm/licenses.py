@@ -7,6 +7,8 @@
 3. Votes are summed by text, template and diagonal, each with the words that the template would cover there.
 4. In each text, a template's neighbouring diagonals (inserted or lost words) are merged, and each span is verified
    word by word: phrases must stand there whole, a longer template with at least `min_cover` of its words in order.
+   Spans of one template that overlap (diagonals further apart) become one. Of texts that share most of their words
+   (versions of a notice, two and three clauses), those of `KIN` whose spans overlap, the most alike stays.
 
 Defined cases: words are runs of digits, a to z (A-Z lower-cased) and characters beyond ASCII; null counts as empty,
 and texts without a word have no hits. Each row is a document of its own, also if others have its id. Columns but the id and the text are ignored. Overlapping hits of different templates are all reported.
@@ -15,6 +17,7 @@ and texts without a word have no hits. Each row is a document of its own, also i
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectrill.llm import _common as common
+from vectrill.llm.license_texts import TEXTS
 
 
 @dataclass(frozen=True)
@@ -57,8 +61,17 @@ NOTICES = (
     Template("no-warranty", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED"),
 )
 
+#: Whole texts, beside the single sentences.
+WHOLE = tuple(Template(label, text) for label, text in TEXTS.items())
+#: Labels whose texts differ in few words only.
+KIN = (
+    ("bsd-2-clause-full", "bsd-3-clause-full"),
+    ("gpl-2.0-notice-full", "gpl-3.0-notice-full", "lgpl-2.1-notice-full", "lgpl-3.0-notice-full", "agpl-3.0-notice-full"),
+)
+
 _SHORT, _LONG, _PAD = 2, 4, 2
 _MARKER = 0x5EED
+_FAMILY = {label: family for family, labels in enumerate(KIN) for label in labels}
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -122,16 +135,18 @@ def votes(df: DataFrame, id_col: str, text_col: str, templates: tuple[Template,
 def _matched(window: list[bytes], template: list[bytes]) -> tuple[int, int, int]:
     """Most words of the template found in order in the window, and the first and last of them there."""
     n, m = len(window), len(template)
-    best = np.zeros((n + 1, m + 1), np.int32)
+    best = [[0] * (m + 1)]
     for i in range(n):
+        above, row = best[-1], [0]
         for j in range(m):
-            best[i + 1, j + 1] = best[i, j] + 1 if window[i] == template[j] else max(best[i, j + 1], best[i + 1, j])
+            row.append(above[j] + 1 if window[i] == template[j] else max(above[j + 1], row[-1]))
+        best.append(row)
     found, i, j = [], n, m
     while i and j:
-        if window[i - 1] == template[j - 1] and best[i, j] == best[i - 1, j - 1] + 1:
+        if window[i - 1] == template[j - 1] and best[i][j] == best[i - 1][j - 1] + 1:
             found.append(i - 1)
             i, j = i - 1, j - 1
-        elif best[i - 1, j] >= best[i, j - 1]:
+        elif best[i - 1][j] >= best[i][j - 1]:
             i -= 1
         else:
             j -= 1
@@ -154,17 +169,41 @@ def _spans(template: Template, rows: list[tuple[int, int, int, bytes]], min_cove
             groups.append([row])
     for group in groups:
         diagonal, _, start, window = max(group, key=lambda r: (r[1], -r[0]))
-        got, first, last = _matched(words_of(window), wanted)
+        there = words_of(window)
+        if (Counter(there) & Counter(wanted)).total() < min_cover * len(wanted):  # in order there are no more
+            continue
+        got, first, last = _matched(there, wanted)
         if got >= min_cover * len(wanted):
             out.append((start + first, start + last, got / len(wanted)))
+    merged: list[tuple[int, int, float]] = []
+    for first, last, cover in sorted(out):
+        if merged and first <= merged[-1][1]:
+            first, last, cover = merged[-1][0], max(last, merged[-1][1]), max(cover, merged.pop()[2])
+        merged.append((first, last, cover))
+    return merged
+
+
+def _closest(spans: list[dict], lengths: dict[str, int]) -> list[dict]:
+    """The spans without those of kindred labels that overlap one more alike: with more of the words of both in common (then the first label)."""
+
+    def alike(s: dict) -> float:
+        wanted = lengths[s["label"]]
+        return 2 * s["cover"] * wanted / (wanted + s["last_word"] - s["first_word"] + 1)
+
+    out = [s for s in spans if s["label"] not in _FAMILY]
+    for s in sorted((s for s in spans if s["label"] in _FAMILY), key=lambda s: (-alike(s), s["label"])):
+        if not any(_FAMILY.get(o["label"]) == _FAMILY[s["label"]] and o["first_word"] <= s["last_word"] and s["first_word"] <= o["last_word"] for o in out):
+            out.append(s)
     return out
 
 
 def scan(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = PHRASES + NOTICES, min_cover: float = 0.75
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = PHRASES + NOTICES + WHOLE, min_cover: float = 0.75
 ) -> DataFrame:
     """id, n_words, spans: for each document an array of (label, phrase, first_word, last_word, cover) by place."""
 
+    lengths = {t.label: len(words_of(t.text.lower().encode())) for t in templates}
+
     def document(held: list[tuple]) -> tuple[int, list[dict]]:
         spans, by = [], {}
         for template, *rest in held:
@@ -173,7 +212,7 @@ def scan(
             if which >= 0:
                 t = templates[which]
                 spans += [{"label": t.label, "phrase": t.phrase, "first_word": a, "last_word": b, "cover": c} for a, b, c in _spans(t, [(r[0], r[1], r[3], r[4]) for r in sorted(rows)], min_cover)]
-        return max(r[2] for rows in by.values() for r in rows), sorted(spans, key=lambda s: (s["first_word"], s["label"], s["last_word"]))
+        return max(r[2] for rows in by.values() for r in rows), sorted(_closest(spans, lengths), key=lambda s: (s["first_word"], s["label"], s["last_word"]))
 
     span = pa.list_(pa.struct([("label", pa.string()), ("phrase", pa.bool_()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("cover", pa.float64())]))
 
