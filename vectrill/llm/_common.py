@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -91,6 +92,14 @@ def fold(id_column: Column, modulus: int) -> Column:
     return F.crc32(id_column.cast("string")) % modulus
 
 
+def release() -> None:
+    """Give memory that is free back to the system: Python workers live on after their tasks, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 # --- words of whole Arrow batches -----------------------------------------------------------
 
 

@@ -47,7 +47,7 @@ _U64 = np.uint64
 #: Bytes of context; the last is the whole segment so far.
 ORDERS = (0, 1, 2, 3, 4, None)
 _WORD, _SPACE = b"W", b"S"
-_HELD, _SENT = 800_000, 50_000
+_HELD, _SENT = 400_000, 50_000
 _BATCH = 500
 _GATES = 12 * 4 * 9
 _W, _S = 0x57, 0x53
@@ -159,7 +159,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(n), _SENT):
             yield whole.slice(at, _SENT)
 
-    for batch in common.slices(batches):
+    for batch in common.slices(batches, most=common.SLICE_BYTES // 2):
         parsed = Parsed(batch.column("text"), 1, 64)
         learn = batch.column("learn").to_numpy(zero_copy_only=False)[parsed.text]
         hashes, index, inverse = np.unique(parsed.hash, return_index=True, return_inverse=True)
@@ -170,6 +170,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from out()
     if held:
         yield from out()
+    common.release()
 
 
 # --- the model ------------------------------------------------------------------------------
@@ -470,7 +471,7 @@ def _with_prefixes(batches: Iterator[pa.RecordBatch], learn: bool, left_out: flo
             at += size
 
 
-_PENDING = 4_000_000
+_PENDING = 1_500_000
 
 
 def context_counts(tokens: DataFrame, least_bits: int, most_bits: int = 32) -> tuple[list[list[np.ndarray]], list[int]]:
@@ -495,6 +496,8 @@ def context_counts(tokens: DataFrame, least_bits: int, most_bits: int = 32) -> t
                 pairs, numbers, pending = [], [], 0
         if pairs:
             yield out()
+        del pairs, numbers
+        common.release()
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -513,6 +516,8 @@ def context_counts(tokens: DataFrame, least_bits: int, most_bits: int = 32) -> t
                 bit = _BITS[row]
                 data = [node.tobytes(), np.bincount(at, weight * (1 - bit)).tobytes(), np.bincount(at, weight * bit).tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(node)], pa.int64()), *(pa.array([x], pa.binary()) for x in data)], ["order", "nodes", "node", "zero", "one"])
+        held.clear()
+        common.release()
 
     pairs = tokens.select("key", "n").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     nodes = common.materialize(pairs.repartition(F.expr("pair >> 9")).mapInArrow(expand, "order int, nodes long, node binary, zero binary, one binary"), "contexts")
