@@ -443,7 +443,7 @@ def _dealt(tokens: DataFrame) -> DataFrame:
     return tokens.select("key", "n").repartition(group).sortWithinPartitions(F.xxhash64(group), group)
 
 
-def _with_prefixes(batches: Iterator[pa.RecordBatch], learn: bool, left_out: float, most: int = 8_000) -> Iterator[tuple[pa.RecordBatch, Prefixes]]:
+def _with_prefixes(batches: Iterator[pa.RecordBatch], learn: bool, left_out: float, most: int = 4_000) -> Iterator[tuple[pa.RecordBatch, Prefixes]]:
     """Small batches of dealt segments and the counts of their prefixes."""
 
     def wholes() -> Iterator[pa.RecordBatch]:
@@ -547,7 +547,7 @@ def _span_rows(known: np.ndarray, facts: np.ndarray, context_words: int, span_bi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, (often_n, often_p) = known.value, facts.value
         single = _found(hashes, np.array([_SINGLE_HASH]))[0]
-        for batch in common.slices(batches, most=common.SLICE_BYTES // 2):
+        for batch in common.slices(batches, most=common.SLICE_BYTES // 4):
             p = Parsed(batch.column("text"), context_words, span_bits)
             spans, ending = len(p.text), p.end == p.start
             at = _found(hashes, p.hash)
@@ -580,6 +580,7 @@ def _span_rows(known: np.ndarray, facts: np.ndarray, context_words: int, span_bi
                 pa.array(total(p.token)), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(value), pa.array(size), rest, pa.ListArray.from_arrays(bounds, pa.array(number)),
             ]
             yield pa.RecordBatch.from_arrays(columns, _SPAN_COLUMNS)
+        common.release()
 
     return run
 
@@ -653,6 +654,7 @@ def _gathered(
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = learn_weights(((b.column("key"), b.column("n").to_numpy(), whole) for b, whole in _with_prefixes(batches, True, 1.0)), left_out.value, order_bits)
+        common.release()
         if got[1].any():
             yield _packed(*got)
 
@@ -679,6 +681,7 @@ def _gathered(
         for b, whole in _with_prefixes(batches, False, 0.0):
             p = log10_probability(b.column("key"), logits.value, weights, order_bits, whole, refine)
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(key_hashes(b.column("key")).view(np.int64)), b.column("n"), pa.array(p)], ["key", "hash", "n", "log10_p"])
+        common.release()
 
     rated = _dealt(tokens).mapInArrow(run_model, "key binary, hash long, n long, log10_p double").select("hash", "n", "log10_p", _is_word().alias("word"))
     rated = common.materialize(rated, "rated")
