@@ -25,7 +25,8 @@ _GNU_NOTICE = (
     "GNU {name} for more details."
 )
 
-# License texts as published, without their copyright lines.
+# License texts as published, without their copyright lines; the Unlicense without its warranty, the GNU notices
+# without the line on where the license is.
 TEXTS = {
     "mit-full": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
